@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import quality
+from lodestar.llm import quality, secrets, simhash
 from lodestar.llm.common import read_table
 
 OP1_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -72,8 +72,17 @@ from x left join e on e.level = x.level and (x.level = 2 or e.lang is not distin
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16(found["fp"]).alias("fingerprint"), "component_id")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality}
+    return {"op1_quality": op1_quality, "op5_simhash": op5_simhash, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
