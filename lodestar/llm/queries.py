@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import quality, secrets, simhash
+from lodestar.llm import decontam, hilbert, quality, secrets, simhash
 from lodestar.llm.common import read_table
 
 OP1_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -72,6 +73,41 @@ from x left join e on e.level = x.level and (x.level = 2 or e.lang is not distin
 """
 
 
+OP4_COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).select(*OP4_COLUMNS)
+
+
+OP4_SQL = r"""
+with dw as (
+  select row_number() over () as rid, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
+  from documents
+), iw as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
+  from benchmark
+), win as (
+  select distinct item_id, least(len(ws), 10) as k, array_to_string(ws[s + 1 : s + least(len(ws), 10)], ' ') as g
+  from (select item_id, ws, unnest(range(len(ws) - least(len(ws), 10) + 1)) as s from iw where len(ws) > 0)
+), pos as (
+  select rid, ws, unnest(range(len(ws))) as p from dw
+), grams as (
+  select rid, p, k, array_to_string(ws[p + 1 : p + k], ' ') as g from pos, (select distinct k from win) where p + k <= len(ws)
+), met as (
+  select rid, p, k, item_id from grams join win using (k, g)
+), hit as (
+  select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + k)) as q from met) group by rid
+), its as (
+  select rid, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from met group by rid
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join hit using (rid) left join its using (rid)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(found["fp"]).alias("fingerprint"), "component_id")
@@ -81,9 +117,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hilbert.plan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op5_simhash": op5_simhash, "op9_secrets": op9_secrets}
+    return {
+        "op1_quality": op1_quality,
+        "op4_decontam": op4_decontam,
+        "op5_simhash": op5_simhash,
+        "op9_secrets": op9_secrets,
+        "op10_hilbert": op10_hilbert,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL}
+    return {"op1_quality": OP1_SQL, "op4_decontam": OP4_SQL}
