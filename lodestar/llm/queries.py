@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontam, hilbert, quality, secrets, simhash
+from lodestar.llm import decontam, hilbert, langid, quality, secrets, simhash, toxicity
 from lodestar.llm.common import read_table
 
 OP1_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -73,6 +73,10 @@ from x left join e on e.level = x.level and (x.level = 2 or e.lang is not distin
 """
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 OP4_COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -113,6 +117,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
 
@@ -125,8 +133,10 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_langid": op2_langid,
         "op4_decontam": op4_decontam,
         "op5_simhash": op5_simhash,
+        "op7_toxicity": op7_toxicity,
         "op9_secrets": op9_secrets,
         "op10_hilbert": op10_hilbert,
     }
