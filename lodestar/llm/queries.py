@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontam, hilbert, langid, quality, secrets, simhash, toxicity
+from lodestar.llm import chat, decontam, extract, hilbert, langid, pieces, quality, secrets, simhash, toxicity
 from lodestar.llm.common import read_table
 
 OP1_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -77,6 +77,37 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.echo_preferences(read_table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations
+), o as (
+  select *, row_number() over w - 1 as i, lag(text) over w as before from t window w as (partition by conv_id order by turn, role, text)
+), e as (
+  select *, max(case when role = 'assistant' then i end) over (partition by conv_id) as last, count(*) over (partition by conv_id) as n from o
+), r as (
+  select *, case when i = last then coalesce(before, '') else text end as other from e
+), p as (
+  select *, min(case when text <> other then i else n end) over (partition by conv_id) as k from r
+), m as (
+  select *, '<|im_start|>' || replace(role, '<|', '< |') || chr(10) as head, replace(text, '<|', '< |') || '<|im_end|>' || chr(10) as c, replace(other, '<|', '< |') || '<|im_end|>' || chr(10) as x from p
+), s as (
+  select *, case when i >= k then sum(case when i >= k then length(head) + length(c) else 0 end) over w else 0 end as c_end,
+    case when i >= k then sum(case when i >= k then length(head) + length(x) else 0 end) over w else 0 end as x_end
+  from m window w as (partition by conv_id order by i)
+)
+select conv_id, max(k)::integer as n_prompt_turns,
+  coalesce(string_agg(head || c, '' order by i) filter (i < k), '') as prompt,
+  coalesce(string_agg(head || c, '' order by i) filter (i >= k), '') as chosen,
+  coalesce(string_agg(head || x, '' order by i) filter (i >= k), '') as rejected,
+  coalesce(string_agg((c_end - length(c))::varchar || ':' || c_end::varchar, ',' order by i) filter (i >= k and role = 'assistant'), '') as chosen_loss,
+  coalesce(string_agg((x_end - length(x))::varchar || ':' || x_end::varchar, ',' order by i) filter (i >= k and role = 'assistant'), '') as rejected_loss
+from s group by conv_id
+"""
+
 OP4_COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -117,10 +148,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
 
@@ -134,13 +173,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_langid": op2_langid,
+        "op3_chat": op3_chat,
         "op4_decontam": op4_decontam,
         "op5_simhash": op5_simhash,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_toxicity": op7_toxicity,
+        "op8_extract": op8_extract,
         "op9_secrets": op9_secrets,
         "op10_hilbert": op10_hilbert,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op4_decontam": OP4_SQL}
+    return {"op1_quality": OP1_SQL, "op3_chat": OP3_SQL, "op4_decontam": OP4_SQL}
