@@ -49,6 +49,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Largest table, in bytes as estimated from its counted rows, that is sent to every executor.
+BROADCAST_BYTES = 8 << 20
+
+
+def checked(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, with a broadcast hint if its counted rows are few enough; without one else."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def ship_code(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python, once per application."""
     root = Path(__file__).resolve().parents[2]

@@ -27,29 +27,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.llm.common import fold_ascii, materialize, pick
+from lodestar.llm.common import checked, fold_ascii, materialize, pick, positional
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 NEAR_TERMS = 4
 SLOP = 5
-#: Largest table, in bytes as estimated from its rows, that is sent to every executor.
-BROADCAST_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(fold_ascii(text), SEPARATORS), lambda w: w != "")
 
 
-def checked(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, a written table, with a broadcast hint if its counted rows are few enough; without one else."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def key_of(doc_id: str, text: str) -> list[Column]:
+    """A row's key is the hash of its id and that of its text, so that repeated ids stay apart."""
+    return [F.xxhash64(F.col(doc_id).cast("string")).alias("k1"), F.xxhash64(F.col(text).cast("string")).alias("k2")]
 
 
-def _document_key(docs: DataFrame) -> DataFrame:
-    """A row's key is the hash of its id and that of its text, so that repeated ids stay apart."""
+def _keyed(docs: DataFrame) -> DataFrame:
     d = pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
-    return d.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("k1"), F.xxhash64("text").alias("k2"), words(F.col("text")).alias("words"))
+    return d.select("doc_id", *key_of("doc_id", "text"), words(F.col("text")).alias("words"))
 
 
 def item_terms(bench: DataFrame) -> DataFrame:
@@ -61,7 +58,7 @@ def item_terms(bench: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(k1, k2, pos, tid) for every occurrence of a term of ``terms`` (term, tid)."""
-    tok = _document_key(docs).select("k1", "k2", F.posexplode("words").alias("pos", "term"))
+    tok = _keyed(docs).select("k1", "k2", F.posexplode("words").alias("pos", "term"))
     return tok.join(checked(terms, 64), "term").select("k1", "k2", "pos", "tid")
 
 
@@ -140,7 +137,7 @@ class Index:
         per = by_pos.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
         near = self.proximity().groupBy("k1", "k2").agg(F.countDistinct("item_id").alias("n_near"))
         per, near = materialize(per, "report"), materialize(near, "near")
-        docs = _document_key(self.docs).select("doc_id", "k1", "k2", F.greatest(F.size("words"), F.lit(0)).cast("long").alias("n_words"))
+        docs = _keyed(self.docs).select("doc_id", "k1", "k2", F.greatest(F.size("words"), F.lit(0)).cast("long").alias("n_words"))
         ids = F.coalesce("ids", F.array().cast("array<string>"))
         return docs.join(per, ["k1", "k2"], "left").join(near, ["k1", "k2"], "left").select(
             "doc_id",
@@ -158,3 +155,11 @@ class Index:
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """A row for each document: words, hits, items, their digest, the verdict, and items near by."""
     return Index(docs, bench).report().drop("k1", "k2")
+
+
+def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their own columns, that hold no benchmark window."""
+    bad = materialize(Index(docs, bench).hits().select("k1", "k2").distinct(), "contaminated")
+    plain, where, names = positional(docs)
+    keyed = plain.select("*", *key_of(where["doc_id"], where["text"]))
+    return keyed.join(checked(bad, 16), ["k1", "k2"], "left_anti").drop("k1", "k2").toDF(*names)

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from lodestar.llm.common import ASCII_SPACE, materialize, pick, ship_code, word_blocks
+from lodestar.llm.common import ASCII_SPACE, checked, materialize, pick, positional, ship_code, word_blocks
 
 SYMBOLS = b"#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SKETCH_BITS = 7
 METRICS = ("sym_bp", "dup_bp", "rep_bp", "len_pc")
 #: Least upper fence of each ratio: symbols a word, repeated lines and repeated words, in ten-thousandths.
@@ -76,12 +78,11 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
     for b in batches:
         rows = [count_text(t.as_py()) for t in b.column("text")]
         cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)]
         keep = [b.column(c) for c in ("doc_id", "lang", "source")]
-        yield pa.RecordBatch.from_arrays(keep + cols, names=["doc_id", "lang", "source", *names])
+        yield pa.RecordBatch.from_arrays(keep + cols, names=["doc_id", "lang", "source", *COUNTS])
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -159,6 +160,13 @@ def thresholds(sk: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return wide.select("_group", *[level(c).alias(c) for c in LIMITS])
 
 
+def _inside() -> Column:
+    ok = F.col("len_pc") >= F.col("len_pc_lo")
+    for m in METRICS:
+        ok = ok & (F.col(m) <= F.col(f"{m}_hi"))
+    return ~F.col("base_failed") & F.coalesce(ok, F.lit(True))
+
+
 def quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """Counts, ratios, fences and verdict of every document (one row for each row of ``docs``).
 
@@ -166,9 +174,28 @@ def quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """
     rows = judged(materialize(features(docs), "quality"))
     limits = thresholds(sketch(rows.where(~F.col("base_failed"))), min_group)
-    inside = F.lit(True)
-    for m in METRICS:
-        inside = inside & (F.col(m) <= F.col(f"{m}_hi"))
-    inside = inside & (F.col("len_pc") >= F.col("len_pc_lo"))
     out = rows.join(limits, "_group", "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_group", "_lang")
+    return out.withColumn("kept", _inside()).drop("_group", "_lang")
+
+
+def kept(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with their own columns.
+
+    A row's verdict follows from its counts and its group's fences, so the counts are taken a second time beside
+    the text and meet the (small, written) table of fences; texts are shuffled only if that table is large.
+    """
+    ship_code(docs.sparkSession)
+    narrow = judged(materialize(features(docs), "quality"))
+    limits = materialize(thresholds(sketch(narrow.where(~F.col("base_failed"))), min_group), "fences")
+    plain, where, names = positional(docs)
+    text = where["text"]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [count_text(t.as_py()) for t in b.column(text)]
+            yield pa.RecordBatch.from_arrays(b.columns + [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=b.schema.names + list(COUNTS))
+
+    schema = T.StructType(plain.schema.fields + [T.StructField(c, T.LongType()) for c in COUNTS])
+    full = plain.mapInArrow(counted, schema).withColumn("lang", F.col(where["lang"]).cast("string")).withColumn("source", F.col(where["source"]).cast("string"))
+    met = judged(full).join(checked(limits, 160), "_group", "left").where(_inside())
+    return met.select(*[F.col(f"_c{i}") for i in range(len(names))]).toDF(*names)

@@ -36,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lodestar.llm.common import FOLD_AZ, materialize, pick, ship_code, word_blocks
+from lodestar.llm.common import FOLD_AZ, checked, materialize, pick, positional, ship_code, word_blocks
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -88,14 +89,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(t.as_py()) for t in b.column("text")], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint's bits as a signed long."""
+    """(doc_id, h, fp) for each row; h is the text's hash, fp the fingerprint's bits as a signed long."""
     ship_code(docs.sparkSession)
-    d = pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
-    return d.mapInArrow(_fingerprints, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
+    d = pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    return d.mapInArrow(_fingerprints, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, h long, fp long")
 
 
 class _Forest:
@@ -292,16 +293,48 @@ def components(edges: DataFrame) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """(fp, root, first_id) of every distinct fingerprint: its component's least fingerprint, its own least doc_id."""
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    roots = components(links(classes.select("fp")))
+    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return named.select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the least doc_id reachable over links."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(classes.select("fp")))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = materialize(_rooted(prints), "roots")
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def survivors(docs: DataFrame) -> DataFrame:
+    """One row of each component, with its own columns: that with the least doc_id, then the least text hash; of
+    rows repeated with both the same, the first by its columns.
+
+    The rows that go are found on narrow tables.  ``docs`` then meets those only, in memory if they are few.
+    """
+    prints = materialize(fingerprints(docs), "fingerprints")
+    named = _rooted(prints).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    rows = prints.groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(named, "fp").withColumn("at", order)
+    rows = materialize(rows.select("root", "doc_id", "h", "n", "at"), "members")
+    best = rows.groupBy("root").agg(F.min("at").alias("best"))
+    met = materialize(rows.join(best, "root").select("doc_id", "h", "n", (F.col("at") == F.col("best")).alias("stays")), "verdicts")
+    gone = materialize(met.where("not stays").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "gone")
+    again = materialize(met.where("stays and n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "repeated")
+    plain, where, names = positional(docs)
+    keyed = plain.withColumn("h", F.xxhash64(F.col(where["text"]).cast("string")))
+    same = F.col(where["doc_id"]).eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h"))
+    left = keyed.join(checked(gone, 24), same, "left_anti")
+    if again.count():
+        among = W.partitionBy(where["doc_id"], "h").orderBy(*plain.columns)
+        some = left.join(again, same, "left_semi").withColumn("_n", F.row_number().over(among)).where("_n = 1").drop("_n")
+        left = left.join(again, same, "left_anti").unionByName(some)
+    return left.drop("h").toDF(*names)
+
+
 def hex16(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
