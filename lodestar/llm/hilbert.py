@@ -34,45 +34,45 @@ def _trailing_ones(i: int) -> int:
     return ((i ^ (i + 1)).bit_length()) - 1
 
 
-def curve_tables(n: int) -> tuple[list[int], list[int], list[int]]:
-    """Inverse Gray code, entry point and direction of each sub-cell of the n-dimensional curve."""
+def curve_tables(n: int) -> tuple[list[int], list[int]]:
+    """Hamilton's state update of the n-dimensional curve as tables, by state * 2 ** n + label.
+
+    A state is an entry point and a direction; a label holds one bit of each coordinate.  The tables give the
+    sub-cell's place on the curve and the state within it.
+    """
+    mask = (1 << n) - 1
     gray = lambda i: i ^ (i >> 1)
-    inverse = [0] * (1 << n)
-    for i in range(1 << n):
-        inverse[gray(i)] = i
+    left = lambda x, k: ((x << k % n) | (x >> (n - k % n))) & mask
+    inverse = {gray(i): i for i in range(1 << n)}
     entry = [0 if i == 0 else gray(2 * ((i - 1) // 2)) for i in range(1 << n)]
     direction = [0 if i == 0 else _trailing_ones(i - 1 if i % 2 == 0 else i) % n for i in range(1 << n)]
-    return inverse, entry, direction
+    place, after = [], []
+    for state in range(n << n):
+        d, e = state >> n, state & mask
+        for label in range(1 << n):
+            w = inverse[left(label ^ e, n - (d + 1) % n)]
+            place.append(w)
+            after.append(((d + direction[w] + 1) % n) << n | (e ^ left(entry[w], (d + 1) % n)))
+    return place, after
 
 
 def hilbert_index(cells: list[Column], bits: int) -> Column:
-    """The index on the curve of a cell with ``bits`` bits in each dimension (Hamilton's state update)."""
+    """The index on the curve of a cell with ``bits`` bits in each dimension."""
     n = len(cells)
-    mask = (1 << n) - 1
-    inverse, entry, direction = (F.array(*[F.lit(x) for x in t]) for t in curve_tables(n))
-    cell = F.array(*[c.cast("int") for c in cells])
-
-    def left(x: Column, k: Column) -> Column:
-        return F.call_function("shiftleft", x, k).bitwiseOR(F.call_function("shiftright", x, F.lit(n) - k)).bitwiseAND(F.lit(mask))
-
-    def right(x: Column, k: Column) -> Column:
-        return F.call_function("shiftright", x, k).bitwiseOR(F.call_function("shiftleft", x, F.lit(n) - k)).bitwiseAND(F.lit(mask))
-
-    def step(state: Column, level: Column) -> Column:
+    place, after = (F.array(*[F.lit(x) for x in t]) for t in curve_tables(n))
+    labels = []
+    for level in reversed(range(bits)):
         label = F.lit(0)
-        for j in range(n):
-            label = label.bitwiseOR(F.shiftleft(F.call_function("shiftright", F.get(cell, F.lit(j)), level).bitwiseAND(F.lit(1)), j))
-        turn = (state["d"] + 1) % n
-        w = F.get(inverse, right(label.bitwiseXOR(state["e"]), turn))
-        return F.struct(
-            state["e"].bitwiseXOR(left(F.get(entry, w), turn)).alias("e"),
-            ((state["d"] + F.get(direction, w) + 1) % n).alias("d"),
-            F.shiftleft(state["h"], n).bitwiseOR(w.cast("long")).alias("h"),
-        )
+        for j, c in enumerate(cells):
+            label = label + F.shiftright(c.cast("int"), level).bitwiseAND(F.lit(1)) * (1 << j)
+        labels.append(label)
+
+    def step(s: Column, label: Column) -> Column:
+        at = F.shiftleft(s["s"], n) + label
+        return F.struct(F.get(after, at).alias("s"), (s["h"] * (1 << n) + F.get(place, at)).alias("h"))
 
-    levels = F.array(*[F.lit(i) for i in reversed(range(bits))])
-    start = F.struct(F.lit(0).alias("e"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("h"))
-    return F.aggregate(levels, start, step)["h"]
+    start = F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("h"))
+    return F.aggregate(F.array(*labels), start, step)["h"]
 
 
 def _text_code(c: str) -> Column:
@@ -131,8 +131,11 @@ def plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, carry: tuple[s
     by = _quantised(cell, bits)
     placed = met.select("*", F.struct(*[shown[c] if c in shown else F.col(c) for c in DIMENSIONS]).alias("as"))
     placed = placed.select(*[c for c in placed.columns if c not in DIMENSIONS], *[F.col("as")[c].alias(c) for c in DIMENSIONS], F.struct("lang", "source", "doc_id").alias("own"))
-    placed = placed.withColumn("hilbert", hilbert_index(by, bits))
+    # the cell's coordinates are fixed before the curve reads each of them once a bit
+    placed = placed.withColumn("cell", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(by)]))
+    placed = placed.withColumn("hilbert", hilbert_index([F.col("cell")[f"c{i}"] for i in range(len(by))], bits))
     placed = placed.select("group", "g_rows", "g_bytes", "size", "text_crc32", "hilbert", *carry, *[F.col("own")[c].alias(c) for c in ("lang", "source", "doc_id")])
+    placed = materialize(placed, "placed")  # the sort reads it twice, once for its bounds
     order = ("hilbert", "group", "doc_id", "lang", "source")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(placed.repartitionByRange(width, *order).withColumn("part", F.spark_partition_id()), "ranged")
