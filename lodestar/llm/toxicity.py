@@ -14,7 +14,7 @@ A document's evidence is the length-normalised likelihood ratio of its expressio
 ratio at most ``CLIP`` and one neutral expression added.  A logistic curve turns it into a score; it is fitted
 on fold ``CALIBRATION`` under a model of the other folds, on at most ``CALIBRATION_ROWS`` rows.
 
-Defined results: null and empty texts have no evidence and get the curve's value at zero; null labels are left
+Defined results: null and empty texts have no evidence and get the curve's value at zero; null labels and ids are left
 out and repeated labels of a document count once, by the greatest; without both classes the score is the share
 of toxic labels (0 without labels).
 """
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialize, pick, ship_code
+from lodestar.llm.common import checked, materialize, pick, ship_code
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -83,12 +83,17 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic, calibration): the rows to learn from."""
-    d = pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+def known(labels: DataFrame) -> DataFrame:
+    """(_id, toxic) of every labelled document outside the held-out fold, written once."""
     y = pick(labels, "doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    d = d.where(fold(F.col("doc_id")) != HELD_OUT)
-    return d.join(y, "doc_id").withColumn("calibration", (fold(F.col("doc_id")) == CALIBRATION).cast("int"))
+    return materialize(y.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).withColumnRenamed("doc_id", "_id"), "labels")
+
+
+def labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text, toxic, calibration) of the documents among ``ids``; texts are shuffled only if there are many ids."""
+    d = pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    rows = d.where(fold(F.col("doc_id")) != HELD_OUT).join(checked(ids, 16), F.col("doc_id") == F.col("_id"))
+    return rows.select("text", "toxic", (fold(F.col("doc_id")) == CALIBRATION).cast("int").alias("calibration"))
 
 
 def continuation(top: DataFrame, order: int = ORDER) -> DataFrame:
@@ -172,8 +177,10 @@ class Model:
         keys = [[s[i : i + k] for i in range(len(s) - k + 1)] for s in marked]
         flat = list(chain.from_iterable(keys))
         found, value = self._lookup(self.seen, flat)
-        back, other = self._lookup(self.unseen, [g[:-1] for g in flat])
-        value = np.where(found, value, np.where(back, other, 0.0))
+        rest = np.flatnonzero(~found)
+        back, other = self._lookup(self.unseen, [flat[i][:-1] for i in rest])
+        value = np.where(found, value, 0.0)
+        value[rest] = np.where(back, other, 0.0)
         return np.add.reduceat(value, np.cumsum([0] + [len(x) for x in keys[:-1]])) if flat else np.zeros(len(marked))
 
     def evidence(self, text: str | None) -> float:
@@ -215,25 +222,25 @@ def train(docs: DataFrame, labels: DataFrame, slots: int = SLOTS):
     """(model, slope, intercept) from the labelled rows."""
     spark = docs.sparkSession
     ship_code(spark)
-    rows = labelled(docs, labels)
-    counted = rows.select("text", "toxic", "calibration").mapInArrow(_count_rows, "g string, a0 long, a1 long, b0 long, b1 long")
+    ids = known(labels)
+    counted = labelled(docs, ids).mapInArrow(_count_rows, "g string, a0 long, a1 long, b0 long, b1 long")
     counts = materialize(counted.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")]), "counts")
     made = []
     for c0, c1 in (("a0", "a1"), ("a0 + b0", "a1 + b1")):
         seen, unseen = log_ratios(counts.select("g", F.expr(c0).alias("c0"), F.expr(c1).alias("c1")))
         made.append(Model(_slotted(seen, slots), _slotted(unseen, slots), slots=slots))
     first, full = (spark.sparkContext.broadcast(m) for m in made)
-    held = rows.where("calibration = 1")
-    n = pick(docs, "doc_id").join(pick(labels, "doc_id", "toxic").where("toxic is not null").select("doc_id").distinct(), "doc_id").where(fold(F.col("doc_id")) == CALIBRATION).count()
+    held = ids.where(fold(F.col("_id")) == CALIBRATION)
+    n = held.count()
     if n > CALIBRATION_ROWS:
-        held = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * CALIBRATION_ROWS / n))
+        held = held.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * CALIBRATION_ROWS / n))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [first.value.evidence(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("toxic")], names=["x", "toxic"])
 
-    got = held.select("text", "toxic").mapInArrow(weigh, "x double, toxic int").toArrow()
+    got = labelled(docs, materialize(held, "calibration")).select("text", "toxic").mapInArrow(weigh, "x double, toxic int").toArrow()
     x, y = got.column("x").to_numpy(), got.column("toxic").to_numpy().astype(float)
     order = np.lexsort((y, x))  # sums in one order, whatever order the rows came in
     a, b = fit_curve(x[order], y[order])
