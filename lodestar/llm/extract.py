@@ -101,18 +101,15 @@ def parse(page: str) -> Node:
         node = Node(name, cur, _attributes(raw))
         cur.kids.append(node)
         if name in RAW:
-            if not raw.endswith("/"):
-                low = page.lower() if low is None else low
-                end = low.find(f"</{name}", at) if len(low) == n else -1
-                if end < 0:
-                    again = re.compile(f"</{name}", re.I).search(page, at)
-                    end = again.start() if again else n
-                at = end
             node.cut = True
-            if at < n:
-                close = page.find(">", at)
-                at = n if close < 0 else close + 1
-        elif name not in VOID and not raw.endswith("/") or name in BLOCK and name not in VOID:
+            low = page.lower() if low is None else low
+            end = low.find(f"</{name}", at) if len(low) == n else -1
+            if end < 0:  # none left, or lower case has another length
+                again = re.compile(f"</{name}", re.I).search(page, at) if len(low) != n else None
+                end = again.start() if again else n
+            close = page.find(">", end)
+            at = n if close < 0 else close + 1
+        elif name not in VOID:
             cur = node
     return root
 
@@ -179,6 +176,8 @@ def _cut(nodes: list[Node]) -> None:
         if CUT_NAMES.search(named) and (2 * (node.chars - node.link_chars) <= plain or _is_comment(named)):
             if node.name != "article" or _is_comment(named):
                 node.cut = True
+    for node in nodes:  # parents first: what is below a cut node is cut
+        node.cut = node.cut or node.up is not None and node.up.cut
     _measure(nodes)
 
 
@@ -191,8 +190,8 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, page_share:
         return 0.0
     c, t = chars, max(tags, 1)
     lc, lt, rest = max(link_chars, 1), max(link_tags, 1), max(chars - link_chars, 1)
-    base = math.log(c / rest * link_chars + page_share * c + math.e)
-    return c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1 else c / t * math.log(max(c / lc * t / lt, 1.0)) / 1e-9
+    base = 1 + math.log(c / rest * link_chars + page_share * c + math.e)  # 1 more, for pages without links
+    return c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base)
 
 
 def _weigh(nodes: list[Node]) -> None:
