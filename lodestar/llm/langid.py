@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pick, ship_code
+from lodestar.llm.common import checked, materialize, pick, ship_code
 
 DIM = 1024
 SEED = 20240229
@@ -124,9 +124,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     ship_code(docs.sparkSession)
     d = pick(docs, "doc_id", "text", "lang").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = d.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    share = materialize(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share")), "share")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.join(share, "lang").where(draw < F.col("share")).where(F.col("text").isNotNull())
+    sample = rows.join(checked(share, 40), "lang").where(draw < F.col("share")).where(F.col("text").isNotNull())
     got = sample.select("text", "lang").mapInArrow(_learn, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     table = np.zeros((len(langs), DIM))
