@@ -149,15 +149,18 @@ def _fences(q: DataFrame, *keys: str) -> DataFrame:
 LIMITS = (*(f"{m}_hi" for m in METRICS), "len_pc_lo")
 
 
+LIMITS = (*(f"{m}_hi" for m in METRICS), "len_pc_lo")
+
+
 def thresholds(sk: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """Fences by ``_group``, each from the narrowest sketch with at least ``min_group`` documents."""
     own = _fences(_quartiles(sk, "_group", "_lang"), "_group", "_lang")
     lang = _fences(_quartiles(sk, "_lang"), "_lang").select("_lang", F.col("total").alias("l_total"), *[F.col(c).alias(f"l_{c}") for c in LIMITS])
-    # the sketch of the corpus is one row; keyed by a constant so that the join is an equi join
-    every = _fences(_quartiles(sk.withColumn("_all", F.lit(1)), "_all"), "_all").select("_all", *[F.col(c).alias(f"a_{c}") for c in LIMITS])
-    wide = own.join(lang, "_lang", "left").withColumn("_all", F.lit(1)).join(every, "_all", "left")
-    level = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("l_total") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    return wide.select("_group", *[level(c).alias(c) for c in LIMITS])
+    # the corpus's fences are one row of numbers
+    every = _fences(_quartiles(sk.withColumn("_all", F.lit(1)), "_all"), "_all").first()
+    every = {c: F.lit(every[c] if every is not None else None).cast("long") for c in LIMITS}
+    level = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("l_total") >= min_group, F.col(f"l_{c}")).otherwise(every[c])
+    return own.join(lang, "_lang", "left").select("_group", *[level(c).alias(c) for c in LIMITS])
 
 
 def _inside() -> Column:
