@@ -108,7 +108,7 @@ select conv_id, max(k)::integer as n_prompt_turns,
 from s group by conv_id
 """
 
-OP4_COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+OP4_COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ with dw as (
     list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
   from documents
 ), iw as (
-  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
+  select row_number() over () as item, item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
   from benchmark
 ), win as (
   select distinct item_id, least(len(ws), 10) as k, array_to_string(ws[s + 1 : s + least(len(ws), 10)], ' ') as g
@@ -136,10 +136,29 @@ with dw as (
   select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + k)) as q from met) group by rid
 ), its as (
   select rid, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from met group by rid
+), tok as (
+  select rid, p, ws[p + 1] as w from pos
+), cnt as (
+  select w, count(*) as n from tok group by w
+), it as (
+  select item, item_id, w, min(off) as off from (select item, item_id, unnest(ws) as w, unnest(range(len(ws))) as off from iw) group by item, item_id, w
+), rk as (
+  select it.*, coalesce(n, 0) as n, row_number() over (partition by item order by coalesce(n, 0), off) as r from it left join cnt using (w)
+), rare as (
+  select *, min(n) over (partition by item) as least, count(*) over (partition by item) as terms from rk where r <= 4
+), al as (
+  select rid, item, item_id, r, terms, p - off as beg from rare join tok using (w) where least > 0
+), lead_ as (
+  select distinct rid, item, item_id, terms, beg from al where r = 1
+), full_ as (
+  select l.rid, l.item_id from lead_ l left join al on al.rid = l.rid and al.item = l.item and al.r > 1 and abs(al.beg - l.beg) <= 5
+  group by l.rid, l.item, l.item_id, l.terms, l.beg having count(distinct al.r) = l.terms - 1
+), nr as (
+  select rid, count(distinct item_id) as n_near from full_ group by rid
 )
 select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from dw left join hit using (rid) left join its using (rid)
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
+from dw left join hit using (rid) left join its using (rid) left join nr using (rid)
 """
 
 
