@@ -273,6 +273,9 @@ def _body(t: _Text, at: int, end: int, lang: str, kind: str) -> int:
         if m.start() < at:
             continue
         c = m.group()
+        if c == "{" and lang in ("typescript", "tsx") and re.search(r"(?:[<:|&,]|\bis)\s*$", t.mask[max(0, m.start() - 8) : m.start()]):
+            at = t.close(m.start(), end) + 1  # an object type
+            continue
         if c == "{" or c == ";":
             return m.start()
         if c in "([":

@@ -165,10 +165,10 @@ def symbol_lookup(spark, sf_dir):
     return found.select("path", "idx", "name", F.row_number().over(W.orderBy("rank", "bodiless", "in_test", "path", "start")).cast("long").alias("nth"))
 
 
-@query("""select n_name as name, case when contains(lower(n_name), 'germny') then 0 else levenshtein(lower(n_name), 'germny') end::integer as distance
-  from (select distinct n_name from nation) where contains(lower(n_name), 'germny') or levenshtein(lower(n_name), 'germny') <= 2 order by 2, 1 limit 5""")
+@query("""select n_name as name, case when contains(lower(n_name), 'naton_3') then 0 else levenshtein(lower(n_name), 'naton_3') end::integer as distance
+  from (select distinct n_name from nation) where contains(lower(n_name), 'naton_3') or levenshtein(lower(n_name), 'naton_3') <= 2 order by 2, 1 limit 5""")
 def suggest_symbols(spark, sf_dir):
-    return lookup.suggest_symbols(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "GERMNY")
+    return lookup.suggest_symbols(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "NATON_3")
 
 
 @query(f"""with p as (select path, string_split(path, '/') as parts, lower(regexp_extract(path, '[^/]*$')) as name from {_DOCS}),
