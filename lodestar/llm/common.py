@@ -58,8 +58,15 @@ def checked(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Most bytes in a batch that goes to Python.  The default, 64 MB, is held several times over by each task.
+BATCH_BYTES = 2 << 20
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python, once per application."""
+    """Make ready for Python on the executors: batches of at most ``BATCH_BYTES`` (a longer text is a batch of its own),
+    and this package importable, once per application."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lodestar_shipped", False):
