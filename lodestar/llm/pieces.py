@@ -4,18 +4,18 @@ The model is a byte-pair one.  Its encoding of a text is the only sequence of pi
 to itself and every two neighbours encode, joined, to themselves (a merge across their border would have come
 first otherwise).  So instead of merging, pieces are matched and a lattice is relaxed:
 
-1. the batch's distinct segments (a run of word marks and the characters up to the next one; no piece goes
-   beyond) are joined into one text, and its suffixes are sorted by as many characters as the longest piece has
-   (prefix doubling);
+1. the batch's texts are cut where no piece goes across: before word marks, and between two characters that
+   stand side by side in no piece.  Its distinct parts are joined into one text, and the text's suffixes are
+   sorted by as many characters as the longest piece has (prefix doubling);
 2. all pieces are looked up by binary search at once, a character a round; each gets the range of suffixes, that
    is the places, where it occurs;
 3. the resulting edges are sorted by position;
 4. relaxing them in that order, an edge is taken if its beginning was reached and its piece may follow the piece
-   that reached it.  Exactly one edge reaches each position, and the last piece of the whole segment gives
-   the encoding backwards.
+   that reached it.  Exactly one edge reaches each position, and the last piece of the whole part gives the
+   encoding backwards.
 
-A character without a piece becomes its UTF-8 bytes' pieces (or the unknown piece).  Segments are remembered from
-batch to batch, up to ``MEMO`` of them.  Decoding joins the pieces, takes byte pieces as UTF-8, turns word marks
+A character without a piece becomes its UTF-8 bytes' pieces (or the unknown piece).  Parts are remembered from
+batch to batch: the last ``MEMO`` that came up and the ``MEMO`` before them.  Decoding joins the pieces, takes byte pieces as UTF-8, turns word marks
 into blanks and drops the one that encoding put in front.
 
 Defined results: a null text has null ids, the empty text none; every text without U+2581 comes back unchanged
@@ -24,7 +24,10 @@ Defined results: a null text has null ids, the empty text none; every text witho
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,9 +40,11 @@ from lodestar.llm.common import pick, ship_code
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 400_000
+MEMO = 100_000
 #: Characters indexed at a time, and of texts taken at a time.
-INDEX, TEXTS = 1 << 20, 1 << 22
+INDEX, TEXTS = 1 << 17, 1 << 20
+#: Longest part that is relaxed side by side with others; slots of the table of pairs, as a power of 2.
+LONG, SLOT_BITS = 256, 21
 _BORDER = 0x110000
 _BEGIN, _UNKNOWN, _NONE = -2, -3, -1
 
@@ -67,16 +72,28 @@ class Encoder:
         self.usable = np.array([self.ids[p] for p in usable])
         self.longest = max(map(len, usable), default=1)
         self.lengths = np.array([len(p) for p in usable])
-        self.codes = np.zeros((len(usable), self.longest), np.int64)
+        # the pieces as a trie, level by level: each node's parent in the level above and its character
+        codes = np.zeros((len(usable), self.longest), np.int64)
         for i, p in enumerate(usable):
-            self.codes[i, : len(p)] = list(map(ord, p))
-        self.length_of = {self.ids[p]: len(p) for p in usable}
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.spines: dict[tuple[int, int], list[tuple[str, float]]] = {}
-        self.memo: dict[str, np.ndarray] = {}
+            codes[i, : len(p)] = list(map(ord, p))
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        node = np.zeros(len(usable), np.int64)
+        for d in range(self.longest):
+            live = np.flatnonzero(self.lengths > d)
+            names, back = np.unique(node[live] << 21 | codes[live, d], return_inverse=True)
+            node[live] = back
+            ending = np.flatnonzero(self.lengths == d + 1)
+            self.levels.append((names >> 21, names & 0x1FFFFF, node[ending], self.usable[ending]))
+        self.length_at = np.ones(len(pieces), np.int64)
+        self.length_at[self.usable] = self.lengths
+        self.inside = {ab for p in usable for ab in zip(p, p[1:])}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.lossy: set[str] = set()
+        self.slots: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "follows": {}, "spines": {}}
+        return self.__dict__ | {"memo": {}, "older": {}, "slots": None}
 
     def _at(self, p: str) -> int:
         return self.rank[p] if len(p) > 1 else -1
@@ -94,146 +111,240 @@ class Encoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _spine(self, piece: int, side: int) -> list[tuple[str, float]]:
+    def _spine(self, piece: int, side: int) -> Iterator[tuple[str, float]]:
         """The parts of a piece along its last (side 1) or first (side 0) border, each with the rank at which it goes on."""
-        key = (piece, side)
-        if key not in self.spines:
-            p, out, until = self.pieces[piece], [], float("inf")
-            while True:
-                out.append((p, until))
-                if len(p) == 1:
-                    break
-                until, p = self.rank[p], self.splits[p][side]
-            self.spines[key] = out
-        return self.spines[key]
+        p, until = self.pieces[piece], float("inf")
+        while True:
+            yield p, until
+            if len(p) == 1:
+                return
+            until, p = self.rank[p], self.splits[p][side]
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether pieces a, b, joined, encode to a, b."""
-        if a < 0 or b < 0:
-            return True
-        got = self.follows.get((a, b))
-        if got is None:
-            if not self.ordered:
-                got = self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
-            else:  # no merge across the border comes before those that take its sides away
-                get, right = self.rank.get, self._spine(b, 0)
-                got = not any((r := get(x + y)) is not None and r < x_until and r <= y_until for x, x_until in self._spine(a, 1) for y, y_until in right)
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            self.follows[a, b] = got
-        return got
+        if not self.ordered:
+            return self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+        # no merge across the border comes before those that take its sides away
+        get, right = self.rank.get, list(self._spine(b, 0))
+        return not any((r := get(x + y)) is not None and r < x_until and r <= y_until for x, x_until in self._spine(a, 1) for y, y_until in right)
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, piece) of every occurrence of every piece in a text of code points, sorted by start."""
         n = len(text)
         rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
         k = 1
-        while k < self.longest:  # ranks of the first 2k characters from those of k
+        while k < self.longest and k < n:  # ranks of the first 2k characters from those of k
             after = np.zeros(n, np.int64)
-            after[: n - k] = rank[k:] + 1
+            after[: max(n - k, 0)] = rank[k:] + 1
             rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
             k *= 2
         suffixes = np.argsort(rank, kind="stable")
         padded = np.concatenate([text, np.full(self.longest + 1, _BORDER)])
-        low, high = np.zeros(len(self.lengths), np.int64), np.full(len(self.lengths), n, np.int64)
-        for d in range(self.longest):
-            live = np.flatnonzero((self.lengths > d) & (low < high))
-            want = self.codes[live, d]
-            ends = []
-            for right in (False, True):
-                a, b = low[live].copy(), high[live].copy()
-                while True:
+        low, high, starts, found = np.zeros(1, np.int64), np.full(1, n, np.int64), [], []
+        for d, (parent, want, ending, piece) in enumerate(self.levels):
+            ends = [low[parent], high[parent]]
+            live = np.flatnonzero(ends[0] < ends[1])
+            want = want[live]
+            low, high = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
+            for right, out in ((False, low), (True, high)):
+                a, b = ends[0][live], ends[1][live]
+                for _ in range(int(n).bit_length() + 1):
                     open_ = a < b
                     if not open_.any():
                         break
                     mid = (a + b) >> 1
                     here = padded[suffixes[np.minimum(mid, n - 1)] + d]
                     less = (here <= want) if right else (here < want)
-                    a = np.where(open_ & less, mid + 1, a)
-                    b = np.where(open_ & ~less, mid, b)
-                ends.append(a)
-            low[live], high[live] = ends
-        size = np.maximum(high - low, 0)
-        which = np.repeat(np.arange(len(size)), size)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-        start = suffixes[at]
+                    a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
+                out[live] = a
+            size = (high - low)[ending]
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[ending], size)
+            starts.append(suffixes[at])
+            found.append(np.repeat(piece, size))
+        start, which = np.concatenate(starts), np.concatenate(found)
         order = np.argsort(start, kind="stable")
-        return start[order], self.usable[which[order]]
-
-    def encode_segments(self, segments: list[str]) -> list[np.ndarray]:
-        """The ids of each segment."""
-        joined = np.concatenate([np.append(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), _BORDER) for s in segments])
+        return start[order], which[order]
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, as the bytes of 32-bit numbers."""
+        sizes = np.array([len(p) for p in parts])
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        joined = np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        joined[begins + sizes] = _BORDER
         start, piece = self.edges(joined)
-        begins = np.cumsum([0] + [len(s) + 1 for s in segments[:-1]])
-        known = np.zeros(len(joined) + 1, bool)
-        known[start[np.isin(piece, self._singles())]] = True
-        single = np.flatnonzero(~known[:-1] & (joined != _BORDER))
-        if len(single):
+        known = np.zeros(len(joined), bool)
+        known[start[np.isin(piece, self.usable[self.lengths == 1])]] = True
+        single = np.flatnonzero(~known & (joined != _BORDER))
+        if len(single):  # characters without a piece
             start, piece = np.concatenate([start, single]), np.concatenate([piece, np.full(len(single), _UNKNOWN)])
             order = np.argsort(start, kind="stable")
             start, piece = start[order], piece[order]
-        last = [_NONE] * (len(joined) + 1)
-        for b in begins.tolist():
-            last[b] = _BEGIN
-        length, may, seen = self.length_of, self.may_follow, self.follows
-        for s, p in zip(start.tolist(), piece.tolist()):
-            before = last[s]
-            if before == _NONE:
-                continue
-            if before < 0 or p < 0:
-                good = True
-            else:
-                good = seen.get((before, p))
-                if good is None:
-                    good = may(before, p)
-            if good:
-                last[s + (length[p] if p >= 0 else 1)] = p
-        out = []
-        for b, s in zip(begins.tolist(), segments):
-            at, ids = b + len(s), []
+        part = np.searchsorted(begins, start, "right") - 1
+        # parts without odd characters go side by side, a character a step; long and odd ones alone
+        alone = sizes > LONG
+        alone[part[piece < 0]] = True
+        ends = start + np.where(piece >= 0, self.length_at[piece], 1)
+        out: list[bytes] = [b""] * len(parts)
+        by = ~alone[part]
+        if by.any():
+            self._abreast(begins, sizes, ~alone, start[by], ends[by], piece[by], part[by], out)
+        if alone.any():
+            self._apart(joined, begins, sizes, np.flatnonzero(alone), start[~by], ends[~by], piece[~by], out)
+        return out
+
+    def _abreast(self, begins, sizes, which, start, ends, piece, part, out) -> None:
+        """Relaxes many short parts at once: all edges at one offset, then those at the next."""
+        last = np.full(int(begins[-1] + sizes[-1]) + 2, _NONE, np.int64)
+        last[begins[which]] = _BEGIN
+        offset = start - begins[part]
+        order = np.argsort(offset, kind="stable")
+        bounds = np.searchsorted(offset[order], np.arange(int(sizes[which].max()) + 1))
+        for first, upto in zip(bounds[:-1], bounds[1:]):
+            now = order[first:upto]
+            before = last[start[now]]
+            now, before = now[before != _NONE], before[before != _NONE]
+            good = self._may_follow(before, piece[now])
+            last[ends[now[good]]] = piece[now[good]]
+        # walk back from the ends, all parts a piece a step
+        ids = np.flatnonzero(which)
+        at, got_part, got_piece = begins[ids] + sizes[ids], [], []
+        while len(ids):
+            p = last[at]
+            got_part.append(ids)
+            got_piece.append(p)
+            at = at - self.length_at[p]
+            more = at > begins[ids]
+            ids, at = ids[more], at[more]
+        part_of, found = np.concatenate(got_part[::-1]), np.concatenate(got_piece[::-1]).astype(np.int32)
+        order = np.argsort(part_of, kind="stable")
+        raw, counts = found[order].tobytes(), np.bincount(part_of, minlength=len(out))
+        stops = (4 * np.cumsum(counts)).tolist()
+        for i in np.flatnonzero(counts).tolist():
+            out[i] = raw[stops[i] - 4 * int(counts[i]) : stops[i]]
+
+    def _may_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``may_follow`` of many pairs.  A table with one slot a hash holds most answers; the rest are worked out."""
+        good = before < 0
+        both = np.flatnonzero(~good)
+        key = before[both] << 32 | piece[both]
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        if self.slots is None:
+            self.slots = (np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool))
+        keys, answers = self.slots
+        miss = np.flatnonzero(keys[slot] != key)
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            known = np.array([self.may_follow(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            good[both] = answers[slot]
+            good[both[miss]] = known[back]
+            keys[slot[miss]], answers[slot[miss]] = key[miss], known[back]
+        else:
+            good[both] = answers[slot]
+        return good
+
+    def _apart(self, joined, begins, sizes, which, start, ends, piece, out) -> None:
+        """Relaxes parts edge by edge."""
+        last = {int(b): _BEGIN for b in begins[which]}
+        for s, e, p in zip(start.tolist(), ends.tolist(), piece.tolist()):
+            before = last.get(s, _NONE)
+            if before != _NONE and (before < 0 or p < 0 or self.may_follow(before, p)):
+                last[e] = p
+        full = len(self.bytes) == 256
+        for i in which.tolist():
+            b, at, ids = int(begins[i]), int(begins[i] + sizes[i]), []
             while at > b:
                 p = last[at]
                 if p == _UNKNOWN:
                     raw = chr(int(joined[at - 1])).encode("utf-8", "replace")
-                    ids.extend([self.bytes[x] for x in reversed(raw)] if len(self.bytes) == 256 else [self.unknown])
+                    ids.extend([self.bytes[x] for x in reversed(raw)] if full else [self.unknown])
                     at -= 1
                 else:
                     ids.append(p)
-                    at -= length[p]
-            out.append(np.array(ids[::-1], np.int32))
+                    at -= int(self.length_at[p])
+            ids.reverse()
+            out[i] = array("i", ids).tobytes()
+
+    def cut(self, text: str) -> list[str]:
+        """The text, marked, cut before word marks; each part without the mark that it begins with."""
+        if not self.apart:
+            return [text.replace(" ", MARK)]
+        if MARK not in text and "  " not in text and text[0] != " ":
+            return text.split(" ")  # one blank between parts
+        return [s[1:] for s in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
+
+    def parts(self, segment: str) -> list[str]:
+        """A segment cut between characters that stand side by side in no piece."""
+        inside, out, at = self.inside, [], 0
+        for i, ab in enumerate(zip(segment, segment[1:]), 1):
+            if ab not in inside:
+                out.append(segment[at:i])
+                at = i
+        out.append(segment[at:])
         return out
 
-    def _singles(self) -> np.ndarray:
-        return self.usable[self.lengths == 1]
-
-    def split(self, text: str) -> list[str]:
-        marked = MARK + text.replace(" ", MARK)
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked) if self.apart else [marked]
+    def _learn(self, names: set[str]) -> dict[str, bytes]:
+        """A table with the ids of each of the names (and of others)."""
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older, new = self.memo, self.older, {}
+        for name in names.difference(memo):
+            ids = older.get(name)
+            if ids is not None:
+                memo[name] = ids
+            else:
+                # letters alone are seldom cut further, and need not be
+                new[name] = [MARK + name] if name.isalpha() else self.parts(MARK + name)
+        some = {}
+        for name, ps in new.items():
+            if len(ps) == 1:
+                some[ps[0]] = None
+            else:
+                for p in ps:
+                    some[p] = memo.get(p[1:], older.get(p[1:])) if p[0] == MARK else None
+        lacking = sorted(p for p, ids in some.items() if ids is None)
+        first = 0
+        while first < len(lacking):
+            end, chars = first, 0
+            while end < len(lacking) and (end == first or chars + len(lacking[end]) < INDEX):
+                chars += len(lacking[end]) + 1
+                end += 1
+            some.update(zip(lacking[first:end], self.encode_parts(lacking[first:end])))
+            first = end
+        plain = self.plain
+        for name, ps in new.items():
+            ids = memo[name] = some[ps[0]] if len(ps) == 1 else b"".join([some[p] for p in ps])
+            if b"".join([plain[i] for i in memoryview(ids).cast("i")]) != (MARK + name).replace(MARK, " ").encode("utf-8", "replace"):
+                self.lossy.add(name)
+        return memo
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        out: list[np.ndarray | None] = []
+        """The ids of each text."""
+        return [ids for ids, _ in self.encode_checked(texts)]
+
+    def encode_checked(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray | None, bool | None]]:
+        """(ids, whether they decode to the text) of each text.  Decoding joins what the parts decode to, and each
+        part is decoded when it is learned, so a text comes back if all its parts do."""
         at = 0
         while at < len(texts):
             upto, size = at, 0
             while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= TEXTS):
                 size += len(texts[upto] or "")
                 upto += 1
-            cut = [self.split(t) if t else [] for t in texts[at:upto]]
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            new = list(dict.fromkeys(s for c in cut for s in c if s not in self.memo))
-            first = 0
-            while first < len(new):
-                end, chars = first, 0
-                while end < len(new) and (end == first or chars + len(new[end]) < INDEX):
-                    chars += len(new[end]) + 1
-                    end += 1
-                self.memo.update(zip(new[first:end], self.encode_segments(new[first:end])))
-                first = end
+            cut = [self.cut(t) if t else [] for t in texts[at:upto]]
+            got = self._learn(set(chain.from_iterable(cut)))
             for t, c in zip(texts[at:upto], cut):
-                out.append(None if t is None else np.concatenate([self.memo[s] for s in c]) if c else np.empty(0, np.int32))
+                if t is None:
+                    yield None, None
+                else:
+                    yield np.frombuffer(b"".join(map(got.__getitem__, c)), np.int32), not self.lossy or self.lossy.isdisjoint(c)
             at = upto
-        return out
+
+    def forget(self) -> None:
+        """Lets go of the parts remembered: a Python worker outlives its task."""
+        self.memo, self.older = {}, {}
+        self.lossy.clear()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, give free memory back
+            ctypes.CDLL(None).malloc_trim(0)
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.plain.__getitem__, ids))
@@ -259,16 +370,15 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                texts = b.column("text").to_pylist()
-                got = enc.encode(texts)
-                same = [None if t is None else enc.decode(g.tolist()) == t.replace(MARK, " ") for t, g in zip(texts, got)]
+            for at in range(0, whole.num_rows, 250):
+                b = whole.slice(at, 250)
+                got, same = zip(*enc.encode_checked(b.column("text").to_pylist()))
                 sizes = [0 if g is None else len(g) for g in got]
                 values = pa.array(np.concatenate([np.empty(0, np.int32), *[g for g in got if g is not None]]), pa.int32())
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values, mask=pa.array([g is None for g in got]))
                 n = pa.array([None if g is None else len(g) for g in got], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, ids, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+        enc.forget()
 
     return d.mapInArrow(rows, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, round_trip boolean")
 

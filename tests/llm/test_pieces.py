@@ -39,12 +39,11 @@ def test_without_memory_and_in_small_blocks(enc, library, monkeypatch):
 
 def test_order_of_merges_falls_back(enc, library, monkeypatch):
     monkeypatch.setattr(enc, "ordered", False)
-    enc.follows.clear()
-    enc.memo.clear()
-    enc.older.clear()
+    enc.forget()
+    enc.slots = None
     text = "The quick brown fox jumps over the lazy dog, again and again."
     assert enc.encode([text])[0].tolist() == library.encode(text)
-    enc.follows.clear()
+    enc.slots = None
 
 
 def test_documents(spark, small, library):
