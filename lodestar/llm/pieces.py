@@ -40,9 +40,9 @@ from lodestar.llm.common import pick, ship_code
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 100_000
+MEMO = 200_000
 #: Characters indexed at a time, and of texts taken at a time.
-INDEX, TEXTS = 1 << 17, 1 << 20
+INDEX, TEXTS = 1 << 18, 1 << 21
 #: Longest part that is relaxed side by side with others; slots of the table of pairs, as a power of 2.
 LONG, SLOT_BITS = 256, 21
 _BORDER = 0x110000
@@ -370,8 +370,8 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                b = whole.slice(at, 250)
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
                 got, same = zip(*enc.encode_checked(b.column("text").to_pylist()))
                 sizes = [0 if g is None else len(g) for g in got]
                 values = pa.array(np.concatenate([np.empty(0, np.int32), *[g for g in got if g is not None]]), pa.int32())
