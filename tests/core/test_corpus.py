@@ -345,3 +345,26 @@ def test_command_line(spark, root, capsys):
     assert "app/" in run("map")[1] and json.loads(run("map", "--json", "app")[1].splitlines()[0])["path"] == "app/main.py"
     assert "== app/util.py" in run("read", "app/util.py")[1]
     assert json.loads(run("trace", "helper")[1].splitlines()[0])["level"] == 1
+
+
+def test_big_files(spark, tmp_path):
+    from lodestar.sources import bigfile
+
+    path = str(tmp_path / "log.txt")
+    text = [f"line {i} " + "x" * (i % 50) for i in range(1, 5001)]
+    (tmp_path / "log.txt").write_text("\n".join(text) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        lines = bigfile.numbered(spark, path)
+        assert lines.rdd.getNumPartitions() > 3 or lines.count() == 5000
+        assert [r.text for r in bigfile.between(lines, 1020, 1030).orderBy("line").collect()] == text[1019:1030]
+        assert [r.text for r in lines.orderBy("line").collect()] == text
+        was = bigfile.describe(lines)
+        old = spark.createDataFrame(was.collect(), was.schema)
+        (tmp_path / "log.txt").write_text("\n".join([*text, "more"]) + "\n")
+        assert bigfile.continues(old, bigfile.numbered(spark, path)).first().appended
+        (tmp_path / "log.txt").write_text("\n".join(["other", *text[1:], "more"]) + "\n")
+        assert not bigfile.continues(old, bigfile.numbered(spark, path)).first().appended
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
