@@ -121,14 +121,15 @@ def sketch(rows: DataFrame) -> DataFrame:
 
 
 def _quartiles(sk: DataFrame, *keys: str) -> DataFrame:
-    """Quartiles of merged sketches: the first bin at which the cumulative count reaches the rank."""
+    """Quartiles of merged sketches: the first bin at which the cumulative count reaches the rank, the lower one's
+    least value and the upper one's greatest."""
     merged = sk.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*keys, "metric")
     cum = merged.select(*keys, "metric", "bin", F.sum("n").over(w).alias("total"), F.sum("n").over(w.orderBy("bin")).alias("cum"))
     q = cum.groupBy(*keys, "metric").agg(
         F.max("total").alias("total"),
         F.min(F.when(4 * F.col("cum") >= F.col("total"), F.col("bin"))).alias("q1"),
-        F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.col("bin"))).alias("q3"),
+        F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.expr(f"bin + shiftleft(1L, greatest(length(bin(bin)) - {SKETCH_BITS}, 0)) - 1"))).alias("q3"),
     )
     return q
 

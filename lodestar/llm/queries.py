@@ -55,7 +55,7 @@ with d as (
 ), c as (
   select *, sum(n) over (partition by level, lang, source, metric) as total, sum(n) over (partition by level, lang, source, metric order by bin) as cum from s
 ), q as (
-  select level, lang, source, metric, max(total) as total, min(bin) filter (4 * cum >= total) as q1, min(bin) filter (4 * cum >= 3 * total) as q3 from c group by all
+  select level, lang, source, metric, max(total) as total, min(bin) filter (4 * cum >= total) as q1, min(bin + (1::bigint << greatest(length(bin(bin)) - 7, 0)::bigint) - 1) filter (4 * cum >= 3 * total) as q3 from c group by all
 ), e as (
   select level, lang, source, max(total) as total,
     max(greatest(q3 + 3 * (q3 - q1), 5000)) filter (metric = 'sym_bp') as sym_hi, max(greatest(q3 + 3 * (q3 - q1), 3000)) filter (metric = 'dup_bp') as dup_hi,

@@ -23,7 +23,7 @@ def test_repeated_words(words):
 
 def test_counts():
     assert quality.count_text(None) == quality.count_text("") == (0, 0, 0, 0, 0, 0)
-    assert quality.count_text("é# b\n\n \né# b\nx|\xa0y") == (5, 9, 3, 1, 0, 3)
+    assert quality.count_text("é# b\n\n \né# b\nx|\xa0y") == (5, 10, 3, 1, 0, 3)
 
 
 def test_long_texts_in_blocks(monkeypatch):
