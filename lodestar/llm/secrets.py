@@ -4,7 +4,9 @@ The base patterns run over the whole text.  Then a worklist unwraps encodings un
 
 * percent escapes (``%70``) and Unicode escapes (backslash ``u0070``, ``x70``, ``&#112;``) are decoded in
   place, so that a key in plain text and a value in escapes meet in one layer;
-* base64 runs become a layer of their own, and so does what gzip, zlib or bzip2 data in them holds;
+* base64 runs become a layer of their own, and so does what gzip, zlib or bzip2 data in them holds; lines of
+  base64 are joined across line breaks.  Control characters, NULs and bytes that are not UTF-8 end a stretch of
+  text but lose nothing beside them, and ASCII in UTF-16 or UTF-32 is read;
 * each layer is scanned and unwrapped again.  Layers already seen at a place are skipped, which ends cycles.
 
 Every layer knows, for each of its characters, the start and end of what it came from in the text, so a
@@ -18,13 +20,13 @@ are never affected).
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,6 +42,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = re.compile(r"[\x20\t]*+(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*+")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_URLSAFE = str.maketrans("-_", "+/")
+#: Data without control characters, and what of it may matter: no find is shorter than 12 characters of ASCII.
+_STRETCH = re.compile(rb"[^\x00-\x08\x0e-\x1f\x7f]{12,}")
+_PRINTED = re.compile(rb"[\t-\r\x20-\x7e]{12}")
+_WIDE = [(n, re.compile(rb"(?:[\t-\r\x20-\x7e]\x00{%d}){11,}[\t-\r\x20-\x7e]?" % (n - 1))) for n in (2, 4)]
 MAX_LAYER = 1 << 26
 
 
@@ -140,58 +149,91 @@ def _decode_escape(esc: str) -> list[tuple[int, int, str]] | None:
     return [(0, len(esc), chr(code))]
 
 
+def _coder(head: bytes):
+    """A decoder for the packed data that begin so, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return None
+
+
 def _unpack(raw: bytes, max_layer: int) -> bytes | None:
     """What gzip, zlib or bzip2 data holds, or None."""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, max_layer)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, max_layer)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, max_layer)
+        coder = _coder(raw)
+        return coder and coder.decompress(raw, max_layer)
     except (zlib.error, OSError, EOFError, ValueError):
-        pass
-    return None
+        return None
 
 
-def _readable(raw: bytes) -> str | None:
-    """Text of bytes that are UTF-8 without control characters (but for white space)."""
-    if any(b < 9 or 13 < b < 32 for b in raw[:64]):
-        return None
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
+def _pieces(raw: bytes) -> Iterator[tuple[int, int, str]]:
+    """(first byte, bytes a character, text) of the stretches of data that may hold a find: UTF-8 between control
+    characters (bytes a character 0: as many as it has in UTF-8, one for a byte that is not UTF-8, which becomes a lone
+    surrogate), and ASCII in UTF-16 or UTF-32 of either order."""
+    for m in _STRETCH.finditer(raw):
+        if _PRINTED.search(m.group()):
+            yield m.start(), 0, m.group().decode("utf-8", "surrogateescape")
+    if b"\0" in raw:
+        for step, wide in _WIDE:
+            for m in wide.finditer(raw):
+                yield m.start(), step, m.group()[::step].decode("ascii")
+
+
+def _width(ch: str) -> int:
+    return 1 if "\udc80" <= ch <= "\udcff" else len(ch.encode("utf-8"))
+
+
+def _runs(text: str) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """(lines as (start, end), end with padding) of base64: each line by itself, and lines that follow each other."""
+    for m in _BASE64.finditer(text):
+        yield [(m.start(), m.start() + len(m.group().rstrip("=")))], m.end()
+    for m in _WRAPPED.finditer(text):
+        if m.end() - m.start() > 16:
+            lines, at = [], m.start()
+            for b in _BREAK.finditer(text, m.start(), m.end()):
+                lines.append((at, b.start()))
+                at = b.end()
+            yield [*lines, (at, m.start() + len(m.group().rstrip("=")))], m.end()
 
 
 def _inner(layer: Layer, max_layer: int) -> Iterator[Layer]:
-    """Layers out of the base64 runs of a layer: their text, or what compressed data in them holds."""
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        packed = _unpack(raw, max_layer)
-        if packed is not None:
-            whole = _origin(layer, m.start(), m.end())
-            while (more := _unpack(packed, max_layer)) is not None and more != packed:
+    """Layers out of the base64 runs of a layer: their text, or what compressed data in them holds.
+
+    What stands before wrapped lines may look like base64 too, so these are read from each of four characters, and
+    packed data may begin at any line."""
+    for lines, end in _runs(layer.text):
+        starts = [0, *accumulate(b - a for a, b in lines)]
+        n = starts.pop()
+        run = "".join(layer.text[a:b] for a, b in lines).translate(_URLSAFE)
+
+        def at(i: int) -> int:
+            k = bisect_right(starts, i) - 1
+            return lines[k][0] + i - starts[k]
+
+        def data(i: int, upto: int = n) -> bytes:
+            part = run[i : upto - ((upto - i) % 4 == 1)]
+            return base64.b64decode(part + "=" * (-len(part) % 4))
+
+        for s in starts:
+            if _coder(data(s, min(n, s + 8))) is None:
+                continue
+            whole = _origin(layer, at(s), end)
+            packed = _unpack(data(s), max_layer)
+            while packed is not None and (more := _unpack(packed, max_layer)) is not None and more != packed:
                 packed = more
-            text = _readable(packed)
-            if text:
+            for _, _, text in _pieces(packed or b""):
                 yield Layer(text, [0], [(*whole, False)])
-            continue
-        text = _readable(raw)
-        if text:
-            parts, at = [], 0
-            for ch in text:  # byte i of the data is in characters 4i//3 to 4(i+1)//3 of the run
-                n = len(ch.encode("utf-8"))
-                parts.append((*_origin(layer, m.start() + 4 * at // 3, m.start() + min(len(run), -(-4 * (at + n) // 3))), False))
-                at += n
-            yield Layer(text, list(range(len(text))), parts)
+        for shift in range(min(4, n) if len(lines) > 1 else 1):
+            for first, step, text in _pieces(data(shift)):
+                parts, byte = [], first
+                for ch in text:  # byte i of the data is in characters 4i//3 to 4(i+1)//3 of the run
+                    after = byte + (step or _width(ch))
+                    parts.append((*_origin(layer, at(shift + 4 * byte // 3), at(min(n, shift - (-4 * after // 3)) - 1) + 1), False))
+                    byte = after
+                yield Layer(text, list(range(len(text))), parts)
 
 
 def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -221,7 +263,7 @@ def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tup
 
 
 def _may_hold_layers(text: str) -> bool:
-    return bool(_BASE64.search(text) or _ESCAPED.search(text))
+    return bool(_BASE64.search(text) or _ESCAPED.search(text) or _WRAPPED.search(text))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

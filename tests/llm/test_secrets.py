@@ -1,6 +1,9 @@
 import base64
 import bz2
 import gzip
+import io
+import random
+import tarfile
 import urllib.parse
 import zlib
 
@@ -128,3 +131,45 @@ def test_rows(edge, none):
 def test_clean_text_stays():
     assert redact(None) is None and redact("") == "" and redact("nothing here") == "nothing here"
     assert KINDS == ("assign", "access", "hex")
+
+
+def tar(text):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name in ("a", "b"):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            t.addfile(info, io.BytesIO(text.encode()))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        KEY.encode("utf-16"), KEY.encode("utf-16-be"), KEY.encode("utf-32-le"), tar(KEY), gzip.compress(tar(KEY), mtime=0), gzip.compress(KEY.encode("utf-16"), mtime=0),
+        b"\x1b[31m" + KEY.encode() + b"\x1b[0m", b"caf\xe9 " + KEY.encode(), KEY.encode() + b"\x00\x7f", zlib.compress(b"\xff\x00" + KEY.encode()),
+    ],
+)
+def test_data_that_is_not_plain_text(raw):
+    inner = base64.b64encode(raw).decode()
+    text = f"vor é {inner} nach"
+    spans = find_secrets(text)[1]
+    assert any(k == 0 and s >= 6 and e <= 6 + len(inner) for s, k, e in spans)
+    assert redact(text).startswith("vor é ") and redact(text).endswith(" nach")
+
+
+@pytest.mark.parametrize("width", [10, 64, 76])
+@pytest.mark.parametrize("line", ["\n", "\r\n  ", "\\n"])
+@pytest.mark.parametrize("head", ["", "CERTIFICATE-----\n", "abc\n"])
+@pytest.mark.parametrize("pack", [bytes, lambda b: gzip.compress(b, mtime=0), bz2.compress])
+def test_wrapped_base64(width, line, head, pack):
+    noise = random.Random(1).randbytes(90).hex().upper()
+    flat = base64.b64encode(pack(("x" * 38 + " " + noise + " " + KEY).encode())).decode()
+    lines = [flat[i : i + width] for i in range(0, len(flat), width)]
+    assert len(lines) > 2
+    text = head + line.join(lines) + " nach"
+    spans = [(s, e) for s, k, e in find_secrets(text)[1] if k == 0]
+    assert any(len(head) <= s and e <= len(text) - 5 for s, e in spans)
+    if pack is bytes:  # the whole secret, over the line breaks
+        assert any("".join(text[s:e].replace(line, "")) in flat and e >= len(text) - 5 - 4 for s, e in spans)
+    assert redact(text).endswith(" nach")
