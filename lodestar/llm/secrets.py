@@ -13,8 +13,8 @@ Every layer knows, for each of its characters, the start and end of what it came
 find in any layer is reported as a span of the original text: code points, end exclusive.
 
 Defined results: null is the empty text; repeated rows are scanned one by one; an empty table gives an empty
-table.  ``max_layer`` bounds what one compressed layer may grow to (a bomb is read up to there, base spans
-are never affected).
+table.  Packed data is read to its end, all members of it, in blocks of about ``max_layer`` bytes: what is held is a
+block, or the longest unbroken run of it; the time grows with what is unpacked (a bomb takes as long as its content).
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -48,6 +49,9 @@ _URLSAFE = str.maketrans("-_", "+/")
 #: Data without control characters, and what of it may matter: no find is shorter than 12 characters of ASCII.
 _STRETCH = re.compile(rb"[^\x00-\x08\x0e-\x1f\x7f]{12,}")
 _PRINTED = re.compile(rb"[\t-\r\x20-\x7e]{12}")
+_PART = 1 << 16
+#: Ends of what no find, escape or run of base64 lines holds, in any of these codings.
+_SAFE = re.compile(rb"[\x01-\x08\x0e-\x1f\x7f-\xff,()<>!?@*|~^$\[\]`]|\x00{4}|\n\r?\n|[A-Za-z0-9]\x00{0,3}\x20\x00{0,3}(?=[A-Za-z0-9])")
 _WIDE = [(n, re.compile(rb"(?:[\t-\r\x20-\x7e]\x00{%d}){11,}[\t-\r\x20-\x7e]?" % (n - 1))) for n in (2, 4)]
 MAX_LAYER = 1 << 26
 
@@ -160,13 +164,73 @@ def _coder(head: bytes):
     return None
 
 
-def _unpack(raw: bytes, max_layer: int) -> bytes | None:
-    """What gzip, zlib or bzip2 data holds, or None."""
-    try:
-        coder = _coder(raw)
-        return coder and coder.decompress(raw, max_layer)
-    except (zlib.error, OSError, EOFError, ValueError):
-        return None
+def _inflate(source: Callable[[], Iterable[bytes]], rest: list[int] | None = None) -> Iterator[bytes]:
+    """What all members of packed data hold, in parts, up to where the data break off or turn into something else;
+    ``rest`` gets the number of bytes that are left there."""
+    coder, data = None, b""
+    for block in source():
+        for i in range(0, len(block), _PART):
+            data += block[i : i + _PART]
+            while True:
+                if coder is None:
+                    if len(data) < 3:
+                        break
+                    coder = _coder(data)
+                    if coder is None:
+                        if rest is not None:
+                            rest.append(len(data) + max(len(block) - i - _PART, 0))
+                        return
+                try:
+                    got = coder.decompress(data, _PART)
+                except (zlib.error, OSError, EOFError, ValueError):
+                    return
+                if got:
+                    yield got
+                if coder.eof:
+                    data, coder = coder.unused_data.lstrip(b"\0"), None  # members may be padded
+                    continue
+                data = getattr(coder, "unconsumed_tail", b"")
+                if not data and len(got) < _PART:
+                    break
+    if coder is None and rest is not None:
+        rest.append(len(data))
+
+
+def _cut(buf: bytearray, known: int) -> int:
+    """The last place in ``buf`` after ``known`` that no find and no base64 can cross, or 0."""
+    step, lo = _PART, len(buf)
+    while lo > known:
+        lo, step, last = max(known, len(buf) - step), 16 * step, None
+        for last in _SAFE.finditer(buf, lo):
+            pass
+        if last:
+            return last.end()
+    return 0
+
+
+def _unpacked(raw: bytes, size: int) -> Iterator[bytes]:
+    """What packed data holds, and what packed data in that holds, and so on: blocks of about ``size`` bytes, longer
+    where an unbroken run is.  Each level is unpacked from the start again; one that was there before ends it."""
+    source: Callable[[], Iterable[bytes]] = lambda: (raw,)
+    seen = {hashlib.sha1(raw).digest()}
+    while True:
+        source = partial(_inflate, source)
+        digest, head, buf, known = hashlib.sha1(), b"", bytearray(), 0
+        for part in source():
+            digest.update(part)
+            head = head if len(head) > 2 else head + part[:3]
+            buf += part
+            if len(buf) >= size:
+                cut = _cut(buf, known)
+                if cut:
+                    yield bytes(buf[:cut])
+                    del buf[:cut]
+                known = max(len(buf) - 16, 0)
+        if buf:
+            yield bytes(buf)
+        if _coder(head) is None or digest.digest() in seen:
+            return
+        seen.add(digest.digest())
 
 
 def _pieces(raw: bytes) -> Iterator[tuple[int, int, str]]:
@@ -186,17 +250,21 @@ def _width(ch: str) -> int:
     return 1 if "\udc80" <= ch <= "\udcff" else len(ch.encode("utf-8"))
 
 
-def _runs(text: str) -> Iterator[tuple[list[tuple[int, int]], int]]:
-    """(lines as (start, end), end with padding) of base64: each line by itself, and lines that follow each other."""
-    for m in _BASE64.finditer(text):
-        yield [(m.start(), m.start() + len(m.group().rstrip("=")))], m.end()
+def _runs(text: str) -> Iterator[tuple[list[tuple[int, int]], int, bool]]:
+    """(lines as (start, end), end with padding, whether data may be packed) of base64: lines that follow each other,
+    and each line by itself, where packed data that goes on was with the others."""
+    begun = set()
     for m in _WRAPPED.finditer(text):
         if m.end() - m.start() > 16:
             lines, at = [], m.start()
             for b in _BREAK.finditer(text, m.start(), m.end()):
                 lines.append((at, b.start()))
                 at = b.end()
-            yield [*lines, (at, m.start() + len(m.group().rstrip("=")))], m.end()
+            lines.append((at, m.start() + len(m.group().rstrip("="))))
+            begun.update(a for a, _ in lines)
+            yield lines, m.end(), True
+    for m in _BASE64.finditer(text):
+        yield [(m.start(), m.start() + len(m.group().rstrip("=")))], m.end(), m.start() not in begun
 
 
 def _inner(layer: Layer, max_layer: int) -> Iterator[Layer]:
@@ -204,7 +272,7 @@ def _inner(layer: Layer, max_layer: int) -> Iterator[Layer]:
 
     What stands before wrapped lines may look like base64 too, so these are read from each of four characters, and
     packed data may begin at any line."""
-    for lines, end in _runs(layer.text):
+    for lines, end, packed in _runs(layer.text):
         starts = [0, *accumulate(b - a for a, b in lines)]
         n = starts.pop()
         run = "".join(layer.text[a:b] for a, b in lines).translate(_URLSAFE)
@@ -217,15 +285,19 @@ def _inner(layer: Layer, max_layer: int) -> Iterator[Layer]:
             part = run[i : upto - ((upto - i) % 4 == 1)]
             return base64.b64decode(part + "=" * (-len(part) % 4))
 
-        for s in starts:
+        for s in starts if packed else ():
             if _coder(data(s, min(n, s + 8))) is None:
                 continue
-            whole = _origin(layer, at(s), end)
-            packed = _unpack(data(s), max_layer)
-            while packed is not None and (more := _unpack(packed, max_layer)) is not None and more != packed:
-                packed = more
-            for _, _, text in _pieces(packed or b""):
-                yield Layer(text, [0], [(*whole, False)])
+            raw, upto, rest = data(s), end, []
+            if len(lines) > 1:  # words after the last line are not of the data
+                for _ in _inflate(lambda: (raw,), rest):
+                    pass
+                if rest and rest[0]:
+                    upto = at(s - (-4 * (len(raw) - rest[0]) // 3) - 1) + 1
+            whole = _origin(layer, at(s), upto)
+            for block in _unpacked(raw, max_layer):
+                for _, _, text in _pieces(block):
+                    yield Layer(text, [0], [(*whole, False)])
         for shift in range(min(4, n) if len(lines) > 1 else 1):
             for first, step, text in _pieces(data(shift)):
                 parts, byte = [], first
@@ -236,29 +308,35 @@ def _inner(layer: Layer, max_layer: int) -> Iterator[Layer]:
                 yield Layer(text, list(range(len(text))), parts)
 
 
+def _nested(held: list[Layer], max_layer: int) -> Iterator[Layer]:
+    """The layers in the one of ``held``, one by one; lists are emptied so that the last keeps no other alive."""
+    yield from _inner(held[0], max_layer)
+    plain = [_unescape(held.pop())]
+    if plain[0] is not None and plain[0].text:
+        yield plain.pop()
+
+
 def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) as sorted (start, kind index, end)."""
     text = text or ""
     base = scan(text)
     spans = set(base)
     seen: set[tuple[bytes, tuple[int, int]]] = set()
-    work = [Layer(text, None, None)] if _may_hold_layers(text) else []
+    work = [_nested([Layer(text, None, None)], max_layer)] if _may_hold_layers(text) else []
     while work:
-        layer = work.pop()
-        nested = list(_inner(layer, max_layer))
-        plain = _unescape(layer)
-        if plain is not None and plain.text:
-            nested.append(plain)
-        for new in nested:
-            where = _origin(new, 0, len(new.text))
-            key = hashlib.sha1(new.text.encode("utf-8", "surrogatepass")).digest()
-            if (key, where) in seen:
-                continue
-            seen.add((key, where))
-            for s, k, e in scan(new.text):
-                a, b = _origin(new, s, e)
-                spans.add((a, k, b))
-            work.append(new)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        where = _origin(new, 0, len(new.text))
+        key = hashlib.sha1(new.text.encode("utf-8", "surrogatepass")).digest()
+        if (key, where) in seen:
+            continue
+        seen.add((key, where))
+        for s, k, e in scan(new.text):
+            a, b = _origin(new, s, e)
+            spans.add((a, k, b))
+        work.append(_nested([new], max_layer))
     return base, sorted(spans)
 
 

@@ -173,3 +173,45 @@ def test_wrapped_base64(width, line, head, pack):
     if pack is bytes:  # the whole secret, over the line breaks
         assert any("".join(text[s:e].replace(line, "")) in flat and e >= len(text) - 5 - 4 for s, e in spans)
     assert redact(text).endswith(" nach")
+
+
+PROSE = "some plain words of prose, é and more of them. "
+
+
+@pytest.mark.parametrize("pack", [lambda b: gzip.compress(b, mtime=0), zlib.compress, bz2.compress])
+@pytest.mark.parametrize("before", [PROSE * 400, "é" * 9_001, "words and words " * 900, "A" * 20_000 + " ", "\x00" * 9_000])
+def test_packed_data_is_read_to_its_end(pack, before):
+    for inner in (KEY.encode(), base64.encodebytes(b"x" * 9_000 + b" " + KEY.encode()), (" " + KEY).encode("utf-16-le")):
+        text = base64.b64encode(pack(before.encode() + inner)).decode()
+        assert any(k == 0 and s == 0 and e == len(text) for s, k, e in find_secrets(text, max_layer=1 << 10)[1])
+
+
+def test_finds_across_blocks():
+    for n in range(990, 1030):
+        text = base64.b64encode(gzip.compress(("." * (n - 8) + ", a, b, " + KEY + ", " + PROSE * 50).encode(), mtime=0)).decode()
+        assert find_secrets(text, max_layer=1 << 10)[1] == find_secrets(text)[1] != []
+
+
+@pytest.mark.parametrize("gap", [b"", b"\x00" * 512])
+def test_further_members(gap):
+    packs = [lambda b: gzip.compress(b, mtime=0), bz2.compress, zlib.compress]
+    for first in packs:
+        for second in packs:
+            raw = first(PROSE.encode()) + gap + second(KEY.encode())
+            assert find_secrets(base64.b64encode(raw).decode())[1], (first, second)
+            assert find_secrets(base64.b64encode(gzip.compress(raw, mtime=0)).decode())[1]
+    tail = base64.b64encode(gzip.compress(b"nothing", mtime=0) + gap + KEY.encode()).decode()
+    assert find_secrets(tail)[1]
+
+
+def test_words_after_packed_lines_stay():
+    flat = base64.b64encode(gzip.compress(f"{PROSE * 3} {random.Random(2).randbytes(99).hex().upper()} {KEY}".encode(), mtime=0)).decode().rstrip("=")
+    text = "\n".join([flat[i : i + 76] for i in range(0, len(flat), 76)]) + "\nEnd of it"
+    assert redact(text).endswith("\nEnd of it") and secrets.MARK in redact(text)
+
+
+def test_levels_of_packing_end():
+    raw = KEY.encode()
+    for i in range(6):
+        raw = (gzip.compress(raw, mtime=0), zlib.compress(raw), bz2.compress(raw))[i % 3]
+    assert find_secrets(base64.b64encode(raw).decode(), max_layer=1 << 10)[1]
