@@ -323,7 +323,8 @@ class Encoder:
 
     def encode_checked(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray | None, bool | None]]:
         """(ids, whether they decode to the text) of each text.  Decoding joins what the parts decode to, and each
-        part is decoded when it is learned, so a text comes back if all its parts do."""
+        part is decoded when it is learned, so a text comes back if all its parts do; but a mark in the text itself
+        comes back as a blank."""
         at = 0
         while at < len(texts):
             upto, size = at, 0
@@ -336,7 +337,7 @@ class Encoder:
                 if t is None:
                     yield None, None
                 else:
-                    yield np.frombuffer(b"".join(map(got.__getitem__, c)), np.int32), not self.lossy or self.lossy.isdisjoint(c)
+                    yield np.frombuffer(b"".join(map(got.__getitem__, c)), np.int32), MARK not in t and (not self.lossy or self.lossy.isdisjoint(c))
             at = upto
 
     def forget(self) -> None:

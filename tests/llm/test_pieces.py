@@ -62,3 +62,10 @@ def test_edges(spark, edge, none):
     assert by[2].ids is None and by[2].n_pieces is None and by[1].ids == [] and by[1].round_trip
     assert all(r.round_trip for r in got if r.ids is not None)
     assert pieces.encode(none).count() == 0
+
+
+def test_round_trip_compares_the_text_itself(enc):
+    texts = ["a b", "a▁b", "▁", "▁a", " a", "a  b▁", "", "梦 😀", None]
+    got = list(enc.encode_checked(texts))
+    assert [same for _, same in got] == [None if t is None else enc.decode(ids.tolist()) == t for t, (ids, _) in zip(texts, got)]
+    assert not got[1][1] and got[0][1]
