@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar import session
+
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 FOLD_AZ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -23,10 +23,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the setting is empty, that is in tests on one machine.
+    A folder of our own is set only where the setting is empty and everything runs on one machine, that is in tests;
+    on a cluster an empty setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints", "lodestar")
         os.makedirs(found, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -49,13 +52,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Largest table, in bytes as estimated from its counted rows, that is sent to every executor.
+#: Largest table, in bytes as written and as counted rows of ``ROW_BYTES``, that is sent to every executor.
 BROADCAST_BYTES = 8 << 20
+#: What a row weighs in memory beside its values.
+ROW_BYTES = 16
+
 
+def written_bytes(df: DataFrame) -> int:
+    """The size of a written table's rows in memory: its columns' widths, and the lengths of its strings, by a count over
+    the table itself."""
+    wide = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        wide = wide + (F.coalesce(F.octet_length(c), F.lit(0)) + 8 if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if kind in ("array", "map", "struct") else F.lit(8))
+    return df.agg(F.coalesce(F.sum(wide.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
-def checked(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, a written table, with a broadcast hint if its counted rows are few enough; without one else."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+def checked(df: DataFrame) -> DataFrame:
+    """``df``, a written table, with a broadcast hint if its measured rows are small enough; without one else."""
+    return F.broadcast(df) if written_bytes(df) <= BROADCAST_BYTES else df
 
 
 #: Most bytes in a batch that goes to Python.  The default, 64 MB, is held several times over by each task.
@@ -67,16 +83,7 @@ def ship_code(spark: SparkSession) -> None:
     and this package importable, once per application."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = Path(__file__).resolve().parents[2]
-    sc = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lodestar_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp()) / "lodestar_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted((root / "lodestar").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(str(target))
-    sc._lodestar_shipped = True
+    session.ship_code(spark)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -59,7 +59,7 @@ def item_terms(bench: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(k1, k2, pos, tid) for every occurrence of a term of ``terms`` (term, tid)."""
     tok = _keyed(docs).select("k1", "k2", F.posexplode("words").alias("pos", "term"))
-    return tok.join(checked(terms, 64), "term").select("k1", "k2", "pos", "tid")
+    return tok.join(checked(terms), "term").select("k1", "k2", "pos", "tid")
 
 
 class Index:
@@ -85,7 +85,7 @@ class Index:
 
     def _alignments(self, anchors: DataFrame, *keys: str) -> DataFrame:
         """Where postings of the anchors' terms put the items' beginnings."""
-        hits = self.postings.join(checked(materialize(anchors, "anchors"), 48), "tid")
+        hits = self.postings.join(checked(materialize(anchors, "anchors")), "tid")
         return hits.select("k1", "k2", *keys, (F.col("pos") - F.col("off")).alias("at")).distinct()
 
     def candidates(self) -> DataFrame:
@@ -97,7 +97,7 @@ class Index:
         pairs = materialize(first.join(second, ["item", "start"], "left").select("item", "off1", "tid1", "off2", "tid2").distinct(), "pairs")
         a1 = self._alignments(pairs.select("item", F.col("off1").alias("off"), F.col("tid1").alias("tid")).distinct(), "item", "off")
         a2 = self._alignments(pairs.where("off2 is not null").select("item", F.col("off2").alias("off"), F.col("tid2").alias("tid")).distinct(), "item", "off")
-        both = a1.withColumnRenamed("off", "off1").join(checked(pairs.select("item", "off1", "off2"), 24), ["item", "off1"])
+        both = a1.withColumnRenamed("off", "off1").join(checked(pairs.select("item", "off1", "off2")), ["item", "off1"])
         alone = both.where("off2 is null").select("k1", "k2", "item", "at")
         met = both.where("off2 is not null").join(a2.withColumnRenamed("off", "off2"), ["k1", "k2", "item", "at", "off2"], "left_semi")
         return met.select("k1", "k2", "item", "at").unionByName(alone).distinct()
@@ -105,7 +105,7 @@ class Index:
     def hits(self) -> DataFrame:
         """(k1, k2, item, item_id, pos): document words inside occurrences of windows."""
         cand = materialize(self.candidates(), "candidates")
-        where = checked(materialize(cand.select("k1", "k2").distinct(), "where"), 16)
+        where = checked(materialize(cand.select("k1", "k2").distinct(), "where"))
         near = self.postings.join(where, ["k1", "k2"], "left_semi")
         want = cand.join(self.items, "item").select("k1", "k2", "item", "item_id", "len", "at", "off", "tid", (F.col("at") + F.col("off")).alias("pos"))
         met = want.join(near, ["k1", "k2", "pos", "tid"]).select("k1", "k2", "item", "item_id", "len", "at", "off", "pos").distinct()
@@ -120,7 +120,7 @@ class Index:
         once = self.items.groupBy("item", "item_id", "tid", "n").agg(F.min("off").alias("off"))
         rare = once.withColumn("least", F.min("n").over(by)).withColumn("rank", F.row_number().over(by.orderBy("n", "off")))
         rare = materialize(rare.where(f"rank <= {NEAR_TERMS} and n > 0").withColumn("of", F.count(F.lit(1)).over(by)).select("item", "item_id", "tid", "off", "rank", "of"), "rare")
-        lists = self.postings.join(checked(rare, 56), "tid").select("k1", "k2", "item", "item_id", "rank", "of", (F.col("pos") - F.col("off")).alias("at"))
+        lists = self.postings.join(checked(rare), "tid").select("k1", "k2", "item", "item_id", "rank", "of", (F.col("pos") - F.col("off")).alias("at"))
         lists = materialize(lists, "lists")
         cell = lambda c: F.floor(c / F.lit(SLOP + 1))
         lead = lists.where("rank = 1").select("k1", "k2", "item", "item_id", "of", F.col("at").alias("at1"), F.explode(F.array(*[cell(F.col("at")) + i for i in (-1, 0, 1)])).alias("cell"))
@@ -162,4 +162,4 @@ def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     bad = materialize(Index(docs, bench).hits().select("k1", "k2").distinct(), "contaminated")
     plain, where, names = positional(docs)
     keyed = plain.select("*", *key_of(where["doc_id"], where["text"]))
-    return keyed.join(checked(bad, 16), ["k1", "k2"], "left_anti").drop("k1", "k2").toDF(*names)
+    return keyed.join(checked(bad), ["k1", "k2"], "left_anti").drop("k1", "k2").toDF(*names)

@@ -55,21 +55,26 @@ with d as (
 ), c as (
   select *, sum(n) over (partition by level, lang, source, metric) as total, sum(n) over (partition by level, lang, source, metric order by bin) as cum from s
 ), q as (
-  select level, lang, source, metric, max(total) as total, min(bin) filter (4 * cum >= total) as q1, min(bin + (1::bigint << greatest(length(bin(bin)) - 7, 0)::bigint) - 1) filter (4 * cum >= 3 * total) as q3 from c group by all
+  select level, lang, source, metric, max(total) as total, min(bin) filter (20 * cum >= 2 * total) as p10, min(bin) filter (20 * cum >= 5 * total) as p25,
+    min(bin) filter (20 * cum >= 10 * total) as p50, min(top) filter (20 * cum >= 15 * total) as p75, min(top) filter (20 * cum >= 18 * total) as p90
+  from (select *, bin + (1::bigint << greatest(length(bin(bin)) - 7, 0)::bigint) - 1 as top from c) group by all
+), z as (
+  select g.lang, g.source, g.metric, g.total >= 50 as own, l.total >= 50 as mid,
+    case when own then g.p25 when mid then l.p25 else a.p25 end as p25, case when own then g.p75 when mid then l.p75 else a.p75 end as p75,
+    case when mid then l.p90 - l.p50 else a.p90 - a.p50 end as above, case when mid then l.p50 - l.p10 else a.p50 - a.p10 end as below,
+    case when mid then l.p10 else a.p10 end as p10, case when mid then l.p90 else a.p90 end as p90
+  from q g join q l on l.level = 1 and l.lang is not distinct from g.lang and l.metric = g.metric join q a on a.level = 2 and a.metric = g.metric where g.level = 0
 ), e as (
-  select level, lang, source, max(total) as total,
-    max(greatest(q3 + 3 * (q3 - q1), 5000)) filter (metric = 'sym_bp') as sym_hi, max(greatest(q3 + 3 * (q3 - q1), 3000)) filter (metric = 'dup_bp') as dup_hi,
-    max(greatest(q3 + 3 * (q3 - q1), 3000)) filter (metric = 'rep_bp') as rep_hi, max(q3 + greatest(3 * (q3 - q1), 200)) filter (metric = 'len_pc') as len_hi,
-    max(q1 - greatest(3 * (q3 - q1), 200)) filter (metric = 'len_pc') as len_lo
-  from q group by level, lang, source
+  select lang, source, metric, greatest(p75 + 3 * greatest(p75 - p25, above), case when metric = 'len_pc' then p90 end, 0) as hi, greatest(least(p25 - 3 * greatest(p75 - p25, below), p10), 0) as lo from z
 ), x as (
-  select r.*, case when g.total >= 50 then 0 when l.total >= 50 then 1 else 2 end as level
-  from r left join e g on g.level = 0 and g.lang is not distinct from r.lang and g.source is not distinct from r.source
-  left join e l on l.level = 1 and l.lang is not distinct from r.lang
+  select r.*, metric, case metric when 'sym_bp' then n_symbols when 'dup_bp' then n_dup_lines when 'rep_bp' then n_repeat_words else word_chars end::double / case metric when 'rep_bp' then 6.0::double else 1.0::double end as seen,
+    (case metric when 'dup_bp' then n_lines else n_words end * hi)::double / case metric when 'rep_bp' then 60000.0::double when 'len_pc' then 100.0::double else 10000.0::double end as most,
+    (n_words * lo)::double / 100.0::double as least
+  from r left join e on e.lang is not distinct from r.lang and e.source is not distinct from r.source
 )
-select x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(sym_bp <= sym_hi and dup_bp <= dup_hi and rep_bp <= rep_hi and len_pc <= len_hi and len_pc >= len_lo, true) as kept
-from x left join e on e.level = x.level and (x.level = 2 or e.lang is not distinct from x.lang) and (x.level > 0 or e.source is not distinct from x.source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and bool_and(coalesce(seen <= most + 3.0::double * sqrt(most + 1.0::double) and (metric <> 'len_pc' or seen >= least - 3.0::double * sqrt(least + 1.0::double)), true)) as kept
+from x group by rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
 """
 
 

@@ -328,7 +328,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     plain, where, names = positional(docs)
     keyed = plain.withColumn("h", F.xxhash64(F.col(where["text"]).cast("string")))
     same = F.col(where["doc_id"]).eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h"))
-    left = keyed.join(checked(gone, 24), same, "left_anti")
+    left = keyed.join(checked(gone), same, "left_anti")
     if again.count():
         among = W.partitionBy(where["doc_id"], "h").orderBy(*plain.columns)
         some = left.join(again, same, "left_semi").withColumn("_n", F.row_number().over(among)).where("_n = 1").drop("_n")

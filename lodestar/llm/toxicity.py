@@ -92,7 +92,7 @@ def known(labels: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(text, toxic, calibration) of the documents among ``ids``; texts are shuffled only if there are many ids."""
     d = pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
-    rows = d.where(fold(F.col("doc_id")) != HELD_OUT).join(checked(ids, 16), F.col("doc_id") == F.col("_id"))
+    rows = d.where(fold(F.col("doc_id")) != HELD_OUT).join(checked(ids), F.col("doc_id") == F.col("_id"))
     return rows.select("text", "toxic", (fold(F.col("doc_id")) == CALIBRATION).cast("int").alias("calibration"))
 
 

@@ -62,8 +62,8 @@ def test_sketches_merge(spark):
     df = quality.judged(quality.features(spark.createDataFrame(made, PLAIN)))
     whole = quality.sketch(df)
     parts = quality.sketch(df.where("doc_id < 40")).unionByName(quality.sketch(df.where("doc_id >= 40")))
-    again = parts.groupBy("_group", "_lang", "metric", "bin").sum("n").withColumnRenamed("sum(n)", "n")
-    key = lambda d: sorted(map(tuple, d.select("_group", "metric", "bin", "n").collect()))
+    again = parts.groupBy("lang", "source", "metric", "bin").sum("n").withColumnRenamed("sum(n)", "n")
+    key = lambda d: sorted(map(tuple, d.select("lang", "source", "metric", "bin", "n").collect()))
     assert key(whole) == key(again)
 
 
@@ -73,3 +73,36 @@ def test_kept_rows(edge, none):
     want = sorted(str(r.doc_id) for r in quality.quality(edge).where("kept").collect())
     assert sorted(str(r["doc_id"]) for r in got.toDF(*[f"c{i}" if i else "doc_id" for i in range(len(got.columns))]).collect()) == want
     assert quality.kept(none).count() == 0
+
+
+def test_groups_with_odd_names(spark, duck, rows):
+    """A separator in a name joins no two groups, and no document comes back twice."""
+    made = [(1, "a b c", "a\x01vb", None), (2, "a b c", "a", "b\x01n"), (3, "a b c", None, None), (4, "a b c", "", ""), (4, "a b c", "", "")]
+    df = spark.createDataFrame(made, PLAIN)
+    got = quality.quality(df).select(*OP1_COLUMNS)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 4, 4]
+    assert rows(got) == duck(OP1_SQL, documents=df)
+
+
+def test_copies_shut_out_nobody(spark):
+    """A source of copies has no spread of its own; its other documents are judged by their language's."""
+    import random
+
+    rng = random.Random(5)
+    prose = lambda: " ".join("w" * rng.randint(2, 7) + str(rng.randint(0, 99999)) for _ in range(80))
+    made = [(i, "seven words of a text in copies " * 1 + " ".join(f"x{j}" for j in range(60)), "en", "s") for i in range(80)]
+    made += [(100 + i, prose(), "en", "s" if i < 20 else "t") for i in range(300)]
+    made += [(900, " ".join(f"#x{j}##" for j in range(80)), "en", "s")]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(made, PLAIN)).collect()}
+    assert all(got[100 + i] for i in range(300)) and got[0] and not got[900]
+
+
+def test_repeats_of_numbered_words():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for n in (0, 1, 3, 4, 50, 400):
+        some = [rng.randint(0, 5) for _ in range(n)]
+        assert quality.repeated_ids(np.array(some, np.int64)) == brute_repeats(some)
