@@ -1,17 +1,23 @@
 """HTML main text by composite text density.
 
 1. A page is read into a tree of elements; comments, scripts, styles and markup go.  Menus, headers, footers,
-   sidebars, notices, adverts, forms and reader comments are cut by element, role and class.
+   sidebars, notices, adverts, forms and reader comments are cut by element, role and class.  A name that may as well
+   be that of a paragraph (``related``, ``share``) cuts a block of plain text inside an article only if it is mostly links.
+   No name and no form cuts what holds an article, or half of the page's plain text.
 2. Every node gets its composite text density: characters per tag, adjusted by how much of the text and how
    many of the tags are links, and by the page's own share of link text (Sun, Song and Liao, "DOM based content
    extraction via text density", SIGIR 2011).  Text that stands directly in a node counts as a child.
 3. The densities of a node's children are summed.  On the path from the node with the greatest sum to the body,
    the least density is the threshold.  Of each branch whose density reaches the threshold, the subtree with the
-   greatest sum is content; an article or main element that holds it, up that path, is taken whole.
-4. The blocks of the content are given in page order, white space inside a block as one blank, joined by a newline.
+   greatest sum is content.  This decides in every page.
+4. What density selects inside an ``article`` is widened to that element, and so are the articles beside it (unless they are
+   mostly links); where it selects half of a ``main`` outside any article, to the ``main``: headings and short
+   paragraphs have a low density of their own.
+5. The blocks of the content are given in page order, white space inside a block as one blank, joined by a newline.
 
 Defined results: null and empty pages, and pages without text, give the empty text; repeated rows are read one
-by one; an empty table gives an empty table; extra columns are ignored.
+by one; of equal sums the innermost block counts; very long and deeply nested pages are read in linear time, without
+recursion; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +53,9 @@ CUT_NAMES = re.compile(
     r"footer|header|masthead|topbar|pagination|pager|login|signup|search|toolbar|skip|teaser|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+#: Names among these that a paragraph or heading of the article itself may have.
+_MILD = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|share|sharing|social|teaser|header|side|search|skip|widgets?|alert|subscription|repl(?:y|ies))(?:$|[\s_-])", re.I)
+TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt li td th figcaption em strong span b i".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*>|<[a-zA-Z/!?][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -69,6 +79,16 @@ def parse(page: str) -> Node:
     """The tree of a page: elements with their children and texts (character references decoded) in order."""
     root = cur = Node("html", None, {})
     at, n, low = 0, len(page), None
+    opened: Counter[str] = Counter()  # elements on the path to ``cur``, by name
+
+    def leave(found: Node) -> Node:
+        """Closes everything down to and with ``found``."""
+        x = cur
+        while x is not found.up:
+            opened[x.name] -= 1
+            x = x.up
+        return x
+
     while at < n:
         m = _TOKEN.search(page, at)
         upto = m.start() if m else n
@@ -81,22 +101,22 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m.group(1):
-            found = cur
+            found = cur if opened[name] else None
             while found is not None and found.name != name:
                 found = None if found.name in ("td", "th", "table") and name not in BLOCK | CELL else found.up
             if found is not None and found.up is not None:
-                cur = found.up
+                cur = leave(found)
             elif name == "p" or name == "br":
                 cur.kids.append(Node("br", cur, {}))
             continue
         if name == "html":
             continue
         for enders in (ENDS.get(name), {"p"} if name in P_ENDERS else None):
-            found = cur if enders else None
+            found = cur if enders and any(opened[x] for x in enders) else None
             while found is not None and found.name not in enders:
                 found = None if found.name in BOUNDS else found.up
             if found is not None and found.up is not None:
-                cur = found.up
+                cur = leave(found)
         raw = m.group(3)
         node = Node(name, cur, _attributes(raw))
         cur.kids.append(node)
@@ -111,6 +131,7 @@ def parse(page: str) -> Node:
             at = n if close < 0 else close + 1
         elif name not in VOID:
             cur = node
+            opened[name] += 1
     return root
 
 
@@ -124,12 +145,16 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def _inside(node: Node, names: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.name in names:
-            return True
-        node = node.up
-    return False
+def _holders(nodes: list[Node]) -> dict[int, Node]:
+    """The innermost article (else main) around each node that has one, by identity; ``nodes`` come parents first."""
+    out: dict[int, Node] = {}
+    for x in nodes:
+        above = out.get(id(x.up)) if x.up is not None else None
+        if x.name == "article" or x.name == "main" and (above is None or above.name == "main"):
+            out[id(x)] = x
+        elif above is not None:
+            out[id(x)] = above
+    return out
 
 
 def _measure(nodes: list[Node]) -> None:
@@ -151,11 +176,12 @@ def _measure(nodes: list[Node]) -> None:
 
 
 def _cut(nodes: list[Node]) -> None:
-    """Marks what isn't article by element, role and class.  A class never cuts an article, nor what holds one or
-    half of the page's plain text."""
+    """Marks what isn't article by element, role and class.  Neither a class nor a form cuts what holds an article
+    or half of the page's plain text."""
+    inside = _holders(nodes)
     for node in nodes:
         a = node.attrs
-        if node.name in CUT or node.name == "header" and not _inside(node, ("article", "main")):
+        if node.name in CUT and node.name != "form" or node.name == "header" and id(node) not in inside:
             node.cut = True
         elif a and (a.get("role", "").lower() in CUT_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)):
             node.cut = node.name not in ("html", "body", "main")
@@ -170,12 +196,18 @@ def _cut(nodes: list[Node]) -> None:
                 up = up.up
     for node in nodes:
         a = node.attrs
-        if not a or node.cut or node.name in ("html", "body", "main") or id(node) in holders:
+        if node.cut or node.name in ("html", "body", "main") or id(node) in holders:
             continue
-        named = f"{a.get('class', '')} {a.get('id', '')}"
-        if CUT_NAMES.search(named) and (2 * (node.chars - node.link_chars) <= plain or _is_comment(named)):
-            if node.name != "article" or _is_comment(named):
-                node.cut = True
+        own = node.chars - node.link_chars
+        if node.name == "form":
+            node.cut = 2 * own <= plain or not own
+        elif a:
+            named = f"{a.get('class', '')} {a.get('id', '')}"
+            if CUT_NAMES.search(named) and (2 * own <= plain or _is_comment(named)):
+                if node.name in TEXT_BLOCK and id(node) in inside and 2 * node.link_chars < node.chars and not CUT_NAMES.search(_MILD.sub("  ", named)):
+                    continue
+                if node.name != "article" or _is_comment(named):
+                    node.cut = True
     for node in nodes:  # parents first: what is below a cut node is cut
         node.cut = node.cut or node.up is not None and node.up.cut
     _measure(nodes)
@@ -218,25 +250,23 @@ def content(root: Node) -> list[Node]:
     if not root.chars:
         return []
     _weigh(nodes)
-    live = [x for x in nodes if not x.cut and x.chars]
-    inside = [x for x in live if _inside(x, ("article", "main"))] or live
-    best = max(inside, key=lambda x: x.total)  # the first in page order on a tie
-    path, up = [], best
+    best = root
+    for x in nodes:  # of equal sums the innermost block, which leaves out what adds nothing
+        if not x.cut and x.chars and (x.total > best.total or x.total == best.total and x.up is not None and x.name in BLOCK):
+            best = x
+    threshold, up = best.density, best.up
     while up is not None:
-        path.append(up)
+        threshold = min(threshold, up.density)
         up = up.up
-    threshold = min(x.density for x in path)
-    for names in (("article",), ("main",)):  # an article or main element on the path is taken whole
-        held = [x for x in path if x.name in names]
-        if held:
-            return [held[-1]]
-    # else, of each branch that reaches the threshold, the subtree with the greatest sum
+    # of each branch that reaches the threshold, the subtree with the greatest sum
     best_below: dict[int, Node] = {}
     for x in reversed(nodes):
         top = x
         for k in x.kids:
-            if not isinstance(k, str) and not k.cut and best_below[id(k)].total > top.total:
-                top = best_below[id(k)]
+            if not isinstance(k, str) and not k.cut:
+                low = best_below[id(k)]
+                if low.total > top.total or low.total == top.total and top is x and low.chars and low.name in BLOCK:
+                    top = low
         best_below[id(x)] = top
     chosen: dict[int, Node] = {}
     stack = [root]
@@ -248,15 +278,39 @@ def content(root: Node) -> list[Node]:
         chosen[id(top)] = top
         if top is not x:
             stack.extend(k for k in x.kids if not isinstance(k, str))
+    _widen(nodes, chosen)
     # a subtree inside another chosen one is part of it
-    return [x for x in nodes if id(x) in chosen and not any(id(u) in chosen for u in _above(x))]
+    out, covered = [], set()
+    for x in nodes:
+        if x.up is not None and id(x.up) in covered:
+            covered.add(id(x))
+        elif id(x) in chosen:
+            covered.add(id(x))
+            out.append(x)
+    return out
 
 
-def _above(x: Node) -> Iterator[Node]:
-    x = x.up
-    while x is not None:
-        yield x
-        x = x.up
+def _widen(nodes: list[Node], chosen: dict[int, Node]) -> None:
+    """Adds the articles around and beside what was chosen, and each main of which half was."""
+    inside = _holders(nodes)
+    beside: set[int] = set()
+    half: Counter[int] = Counter()
+    for x in list(chosen.values()):
+        holder = inside.get(id(x))
+        if holder is None or holder.cut:
+            continue
+        if holder.name == "main":
+            half[id(holder)] += x.chars
+            if 2 * half[id(holder)] >= holder.chars:
+                chosen[id(holder)] = holder
+            continue
+        while (outer := inside.get(id(holder.up))) is not None and outer.name == "article":
+            holder = outer
+        chosen[id(holder)] = holder
+        beside.add(id(holder.up))
+    for x in nodes:
+        if x.name == "article" and not x.cut and id(x.up) in beside and 2 * x.link_chars < x.chars:
+            chosen[id(x)] = x
 
 
 def blocks(tops: list[Node]) -> list[str]:
