@@ -7,13 +7,15 @@ The base patterns run over the whole text.  Then a worklist unwraps encodings un
 * base64 runs become a layer of their own, and so does what gzip, zlib or bzip2 data in them holds; lines of
   base64 are joined across line breaks.  Control characters, NULs and bytes that are not UTF-8 end a stretch of
   text but lose nothing beside them, and ASCII in UTF-16 or UTF-32 is read;
-* each layer is scanned and unwrapped again.  Layers already seen at a place are skipped, which ends cycles.
+* each layer is scanned and unwrapped again.  Layers already seen at a place are skipped, which ends cycles;
+* escapes of escapes are unwrapped level by level ``LEVELS`` times; what is nested deeper is decoded to its end in one pass,
+  whose time is in proportion to the text, and scanned there.
 
 Every layer knows, for each of its characters, the start and end of what it came from in the text, so a
 find in any layer is reported as a span of the original text: code points, end exclusive.
 
-Defined results: null is the empty text; repeated rows are scanned one by one; an empty table gives an empty
-table.  Packed data is read to its end, all members of it, in blocks of about ``max_layer`` bytes: what is held is a
+Defined results: null is the empty text; repeated rows are scanned one by one; of spans with one start the kind's order
+decides; extra columns are ignored, or carried along by ``redacted``; an empty table gives an empty table.  Packed data is read to its end, all members of it, in blocks of about ``max_layer`` bytes: what is held is a
 block, or the longest unbroken run of it; the time grows with what is unpacked (a bomb takes as long as its content).
 """
 
@@ -42,6 +44,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: One escape; a percent escape may be a character of several bytes.
+_ONE = re.compile(r"%[0-7][0-9A-Fa-f]|%[cdCD][0-9A-Fa-f]%[89abAB][0-9A-Fa-f]|%[eE][0-9A-Fa-f](?:%[89abAB][0-9A-Fa-f]){2}|%[fF][0-7](?:%[89abAB][0-9A-Fa-f]){3}|" + _ESCAPED.pattern.split("|", 1)[1])
+LEVELS, LONGEST = 32, 12
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BREAK = re.compile(r"[\x20\t]*+(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*+")
 _WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
@@ -130,6 +135,54 @@ def _unescape(layer: Layer) -> Layer | None:
     return Layer("".join(out), pos, parts)
 
 
+def _settled(layer: Layer) -> Layer | None:
+    """The layer with its escapes, and what escapes these make, decoded in place until none is left; None if there is none.
+
+    The characters are a linked list.  A decoded character may complete an escape that begins up to ``LONGEST`` characters
+    before it, so these are looked at again; every escape shortens the list, so the work is linear.
+    """
+    text, n = layer.text, len(layer.text)
+    chars, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
+    spans: dict[int, tuple[int, int]] = {}
+    work = [m.start() for m in _ONE.finditer(text)][::-1]
+    gone = bytearray(n)
+    while work:
+        i = work.pop()
+        if gone[i]:
+            continue
+        some, j = [], i
+        while j < n and len(some) < LONGEST:
+            some.append(j)
+            j = after[j]
+        m = _ONE.match("".join([chars[k] for k in some]))
+        got = _decode_escape(m.group()) if m else None
+        if got is None or len(got) != 1:
+            continue
+        used = some[: m.end()]
+        first, last = spans.get(used[0]) or _origin(layer, used[0], used[0] + 1), spans.get(used[-1]) or _origin(layer, used[-1], used[-1] + 1)
+        spans[i], chars[i] = (first[0], last[1]), got[0][2]
+        for k in used[1:]:
+            gone[k] = 1
+        after[i] = after[used[-1]]
+        if after[i] < n:
+            before[after[i]] = i
+        back = i
+        for _ in range(LONGEST):
+            if back < 0:
+                break
+            if chars[back] in "%\\&":
+                work.append(back)
+            back = before[back]
+    if not spans:
+        return None
+    left, i = [], 0
+    while i < n:
+        left.append(i)
+        i = after[i]
+    parts = [(*(spans.get(i) or _origin(layer, i, i + 1)), False) for i in left]
+    return Layer("".join([chars[i] for i in left]), list(range(len(left))), parts)
+
+
 def _decode_escape(esc: str) -> list[tuple[int, int, str]] | None:
     """(start, end, characters) within an escape sequence; None if it stands for no character."""
     if esc[0] == "%":
@@ -308,12 +361,14 @@ def _inner(layer: Layer, max_layer: int) -> Iterator[Layer]:
                 yield Layer(text, list(range(len(text))), parts)
 
 
-def _nested(held: list[Layer], max_layer: int) -> Iterator[Layer]:
-    """The layers in the one of ``held``, one by one; lists are emptied so that the last keeps no other alive."""
-    yield from _inner(held[0], max_layer)
-    plain = [_unescape(held.pop())]
+def _nested(held: list[Layer], max_layer: int, level: int = 0) -> Iterator[tuple[Layer, int]]:
+    """The layers in the one of ``held``, one by one, each with the number of times that escapes were unwrapped in place;
+    lists are emptied so that the last keeps no other alive."""
+    for inner in _inner(held[0], max_layer):
+        yield inner, 0
+    plain = [_unescape(held.pop()) if level < LEVELS else _settled(held.pop())]
     if plain[0] is not None and plain[0].text:
-        yield plain.pop()
+        yield plain.pop(), level + 1
 
 
 def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -324,7 +379,7 @@ def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tup
     seen: set[tuple[bytes, tuple[int, int]]] = set()
     work = [_nested([Layer(text, None, None)], max_layer)] if _may_hold_layers(text) else []
     while work:
-        new = next(work[-1], None)
+        new, level = next(work[-1], (None, 0))
         if new is None:
             work.pop()
             continue
@@ -336,7 +391,7 @@ def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tup
         for s, k, e in scan(new.text):
             a, b = _origin(new, s, e)
             spans.add((a, k, b))
-        work.append(_nested([new], max_layer))
+        work.append(_nested([new], max_layer, level))
     return base, sorted(spans)
 
 

@@ -10,7 +10,7 @@ import zlib
 import pytest
 
 from lodestar.llm import secrets
-from lodestar.llm.secrets import KINDS, find_secrets, redact
+from lodestar.llm.secrets import KINDS, Layer, _settled, _unescape, find_secrets, redact
 
 KEY = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962'
 
@@ -215,3 +215,72 @@ def test_levels_of_packing_end():
     for i in range(6):
         raw = (gzip.compress(raw, mtime=0), zlib.compress(raw), bz2.compress(raw))[i % 3]
     assert find_secrets(base64.b64encode(raw).decode(), max_layer=1 << 10)[1]
+
+
+def test_planted_under_random_wraps():
+    """A secret under any nest of wraps is found, and its span is that of what it was wrapped into; the same text with an
+    ordinary word in its place has no such span."""
+    import base64
+    import gzip
+    import random
+    import zlib
+
+    rng = random.Random(11)
+    wraps = {
+        "url": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+        "js": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "html": lambda t: "".join(f"&#{ord(c)};" for c in t),
+        "b64": lambda t: base64.b64encode(t.encode()).decode(),
+        "gzip": lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+        "zlib": lambda t: base64.urlsafe_b64encode(zlib.compress(t.encode())).decode(),
+    }
+    for _ in range(150):
+        names = [rng.choice(list(wraps)) for _ in range(rng.randint(1, 4))]
+        head = " ".join(rng.choice(["ordinary", "words", "stand", "here"]) for _ in range(rng.randint(0, 5))) + " ("
+        for inner, kind in (("AKIA" + "".join(rng.choices("ABCDEFGH2345", k=16)), 1), ("ordinary sentence here", None)):
+            body = inner
+            for n in names:
+                body = wraps[n](body)
+            found = [x for x in find_secrets(f"{head}{body}) end")[1] if x[1] == 1]
+            if kind is None:
+                assert not found, (names, body)
+            else:
+                assert len(found) == 1 and len(head) <= found[0][0] < found[0][2] <= len(head) + len(body), (names, body, found)
+                if not any(n in ("b64", "gzip", "zlib") for n in names):
+                    assert found[0] == (len(head), 1, len(head) + len(body))
+
+
+def test_deep_escapes_in_linear_time():
+    import time
+
+    key = "KIAABCDEFGH12345678"
+    deep = [
+        lambda n: "%25" + "25" * n + "41" + key,
+        lambda n: "\\u005c" + "u005c" * n + "u0041" + key,
+        lambda n: "&#38;" + "#38;" * n + "#65;" + key,
+        lambda n: "%4" + "%3" * n + "%31" + key,
+        lambda n: "%5cu0025" + "5cu0025" * n + "41" + key,
+    ]
+    for make in deep:
+        for n in (0, 1, 5, 31, 32, 33, 100):
+            assert (0, 1, len(make(n))) in find_secrets(make(n))[1]
+        began = time.perf_counter()
+        assert (0, 1, len(make(60_000))) in find_secrets(make(60_000))[1]
+        assert time.perf_counter() - began < 20
+
+
+def test_settled_is_the_fixpoint():
+    """One pass to the end gives what level after level gives."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(400):
+        text = "".join(rng.choice(["%", "25", "41", "\\u00", "5c", "u00", "&#", "38;", "3", "a", "é", "%C3%A9", "%c3"]) for _ in range(rng.randint(1, 14)))
+        layer, last = Layer(text, None, None), None
+        while layer is not None and layer.text != last:
+            last, slow = layer.text, layer
+            layer = _unescape(layer)
+        fast = _settled(Layer(text, None, None))
+        fast = text if fast is None else fast.text
+        if "�" not in slow.text and "c3" not in text.lower():
+            assert fast == slow.text, text
