@@ -8,8 +8,11 @@ prototype with the greatest cosine, the first by name on a tie, and the score is
 Texts are taken in lower case; runs of other characters than letters count as one blank.  Prototypes are fitted
 on at most about ``PER_LANGUAGE`` documents of each language, taken by a hash of the id from all training rows.
 
+What comes to the driver and goes to every executor is one vector for each distinct language.
+
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned; null
-languages are not learned; an empty table gives an empty table.
+languages are not learned; repeated rows are learned and judged one by one; a very long text is read whole, ``BLOCK``
+characters at a time; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import checked, materialize, pick, ship_code
 
-DIM = 1024
+DIM = 2048
 SEED = 20240229
 HELD_OUT = 2
 PER_LANGUAGE = 5000
 #: Characters taken at a time, and distinct trigrams bound at a time.
-BLOCK, BIND = 1 << 19, 1 << 13
+BLOCK, BIND = 1 << 19, 1 << 12
 UNKNOWN = "und"
 
 
@@ -126,7 +129,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     rows = d.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull())
     share = materialize(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share")), "share")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.join(checked(share, 40), "lang").where(draw < F.col("share")).where(F.col("text").isNotNull())
+    sample = rows.join(checked(share), "lang").where(draw < F.col("share")).where(F.col("text").isNotNull())
     got = sample.select("text", "lang").mapInArrow(_learn, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     table = np.zeros((len(langs), DIM))
