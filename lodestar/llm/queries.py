@@ -83,34 +83,39 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.echo_preferences(read_table(spark, sf_dir, "conversations"))
+    return chat.preference_rows(read_table(spark, sf_dir, "conversations"))
 
 
 OP3_SQL = r"""
 with t as (
-  select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations
-), o as (
-  select *, row_number() over w - 1 as i, lag(text) over w as before from t window w as (partition by conv_id order by turn, role, text)
+  select conv_id, case when conv_id is null then row_number() over () end as apart, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations
+), c as (
+  select conv_id, apart, list({'role': role, 'text': text} order by turn nulls first, role, text) as ts from t group by conv_id, apart
+), a as (
+  select *, case when conv_id is not null then lag(conv_id) over (partition by apart, ts[1] order by conv_id) end as prior,
+    list_filter(range(1, len(ts) + 1), lambda i: ts[i].role = 'assistant') as answers from c
 ), e as (
-  select *, max(case when role = 'assistant' then i end) over (partition by conv_id) as last, count(*) over (partition by conv_id) as n from o
-), r as (
-  select *, case when i = last then coalesce(before, '') else text end as other from e
+  select *, answers[(len(answers) + 1) // 2] as mid from a
 ), p as (
-  select *, min(case when text <> other then i else n end) over (partition by conv_id) as k from r
+  select e.conv_id, e.ts as c, case when o.ts is not null then o.ts when e.mid is null then e.ts
+    else e.ts[1 : e.mid - 1] || [{'role': 'assistant', 'text': case when e.mid > 1 then e.ts[e.mid - 1].text else '' end}] end as r
+  from e left join c o on o.conv_id = e.prior
+), k as (
+  select *, coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])[1] - 1, least(len(c), len(r))) as k from p
 ), m as (
-  select *, '<|im_start|>' || replace(role, '<|', '< |') || chr(10) as head, replace(text, '<|', '< |') || '<|im_end|>' || chr(10) as c, replace(other, '<|', '< |') || '<|im_end|>' || chr(10) as x from p
+  select conv_id, k, list_transform(c[1 : k], lambda x: '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10) || replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10)) as p,
+    list_transform(c[k + 1 :], lambda x: {'role': x.role, 'head': '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10), 'body': replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10)}) as c,
+    list_transform(r[k + 1 :], lambda x: {'role': x.role, 'head': '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10), 'body': replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10)}) as r
+  from k
 ), s as (
-  select *, case when i >= k then sum(case when i >= k then length(head) + length(c) else 0 end) over w else 0 end as c_end,
-    case when i >= k then sum(case when i >= k then length(head) + length(x) else 0 end) over w else 0 end as x_end
-  from m window w as (partition by conv_id order by i)
+  select *, list_transform(c, lambda x: length(x.head) + length(x.body)) as cn, list_transform(r, lambda x: length(x.head) + length(x.body)) as rn from m
 )
-select conv_id, max(k)::integer as n_prompt_turns,
-  coalesce(string_agg(head || c, '' order by i) filter (i < k), '') as prompt,
-  coalesce(string_agg(head || c, '' order by i) filter (i >= k), '') as chosen,
-  coalesce(string_agg(head || x, '' order by i) filter (i >= k), '') as rejected,
-  coalesce(string_agg((c_end - length(c))::varchar || ':' || c_end::varchar, ',' order by i) filter (i >= k and role = 'assistant'), '') as chosen_loss,
-  coalesce(string_agg((x_end - length(x))::varchar || ':' || x_end::varchar, ',' order by i) filter (i >= k and role = 'assistant'), '') as rejected_loss
-from s group by conv_id
+select conv_id, k::integer as n_prompt_turns, coalesce(array_to_string(p, ''), '') as prompt,
+  coalesce(array_to_string(list_transform(c, lambda x: x.head || x.body), ''), '') as chosen,
+  coalesce(array_to_string(list_transform(r, lambda x: x.head || x.body), ''), '') as rejected,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i: (list_sum(cn[1 : i])::bigint - length(c[i].body))::varchar || ':' || (list_sum(cn[1 : i])::bigint)::varchar), ','), '') as chosen_loss,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i: (list_sum(rn[1 : i])::bigint - length(r[i].body))::varchar || ':' || (list_sum(rn[1 : i])::bigint)::varchar), ','), '') as rejected_loss
+from s
 """
 
 OP4_COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
