@@ -12,8 +12,9 @@ goes to one shard whole, a larger one is cut like any run, so sizes stay within
 The order is total and dealt out by range, so a key or group that holds a third of the rows is spread over
 tasks.  Running sums are taken per range and carried on by a table with one row a range.
 
-Defined results: null text has size 1 and checksum 0; null metadata is the least value; repeated rows get slots
-one by one; an empty table gives an empty table; extra columns are ignored.
+Defined results: null text has size 1 and checksum 0; null metadata is the least value; repeated rows and ties get slots
+one by one; a very long text counts with all its bytes, and only its size and hashes are moved; an empty table gives an
+empty table; extra columns are ignored, or carried along by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.llm.common import materialize, pick
+from lodestar.llm.common import materialize, meet, pick
 
 SHARDS = 8
 BITS = 4
@@ -75,40 +76,64 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*labels), start, step)["h"]
 
 
-def _text_code(c: str) -> Column:
-    """The first seven bytes as a number, in the order of the strings."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c).cast("string"), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
+def _width(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _codes(rows: DataFrame) -> list[Column]:
-    """Each dimension as a number whose order is that of the values."""
-    out = []
-    for c in DIMENSIONS:
-        numeric = rows.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
-        out.append(F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")) if numeric else _text_code(c))
-    return out
+def running(rows: DataFrame, order: tuple[str, ...], *sizes: str) -> DataFrame:
+    """``rows`` in a total order with ``idx`` (from 0), ``upto_<size>`` (the sum up to and with a row) and ``total_<size>``.
+
+    Rows are dealt out by range; the sums before a range come from a table with one row a range.
+    """
+    ranged = materialize(rows.repartitionByRange(_width(rows), *order).withColumn("part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("p_rows"), *[F.sum(c).alias(f"p_{c}") for c in sizes])
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    every = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    start = lambda c, to: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(to)
+    parts = parts.select("part", start("p_rows", "s_rows"), *[start(f"p_{c}", f"s_{c}") for c in sizes], *[F.sum(f"p_{c}").over(every).alias(f"total_{c}") for c in sizes])
+    w = W.partitionBy("part").orderBy(*order)
+    run = ranged.withColumn("idx", F.row_number().over(w)).withColumns({f"upto_{c}": F.sum(c).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) for c in sizes})
+    run = run.join(F.broadcast(parts), "part")  # one row for each shuffle partition
+    run = run.withColumns({"idx": F.col("s_rows") + F.col("idx") - 1} | {f"upto_{c}": F.col(f"s_{c}") + F.col(f"upto_{c}") for c in sizes})
+    return run.drop("part", "s_rows", *[f"s_{c}" for c in sizes])
+
 
+def _is_number(rows: DataFrame, c: str) -> bool:
+    return rows.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
 
-def _bounds(rows: DataFrame, bits: int) -> list[list[int]]:
-    """Quantiles of each dimension, at most 2 ** bits - 1 of them: a few numbers, kept on the driver."""
+
+def _bounds(rows: DataFrame, bits: int) -> dict[str, list]:
+    """Quantiles of each dimension, at most 2 ** bits - 1 of them: a few values, kept on the driver.
+
+    Those of strings are taken over the distinct values and their counts, whole strings in their order.
+    """
     at = [i / (1 << bits) for i in range(1, 1 << bits)]
-    got = rows.agg(*[F.percentile_approx(c, at, 10_000).alias(f"q{i}") for i, c in enumerate(_codes(rows))]).first()
-    return [sorted(set(q or [])) for q in got]
+    numbers = [c for c in DIMENSIONS if _is_number(rows, c)]
+    got = rows.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in numbers]).first()
+    out = {c: sorted(set(got[c] or [])) for c in numbers}
+    for c in DIMENSIONS:
+        if c not in out:
+            values = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            ranks = lambda upto: F.floor(upto * F.lit(1 << bits) / F.col("total_n"))  # noqa: B023, E731
+            crossing = ranks(F.col("upto_n")) > ranks(F.col("upto_n") - F.col("n"))
+            out[c] = sorted(r.v for r in running(values, ("v",), "n").where(crossing).select("v").collect())
+    return out
 
 
 def _quantised(rows: DataFrame, bits: int) -> list[Column]:
+    bounds = _bounds(rows, bits)
     out = []
-    for code, bounds in zip(_codes(rows), _bounds(rows, bits)):
+    for c in DIMENSIONS:
+        value = F.col(c) if _is_number(rows, c) else F.col(c).cast("string")
         cell = F.lit(0)
-        for b in bounds:
-            cell = cell + (code > F.lit(b)).cast("int")
+        for b in bounds[c]:
+            cell = cell + F.coalesce(value > F.lit(b), F.lit(False)).cast("int")
         out.append(cell)
     return out
 
 
 def plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, text_crc32, lang, source, hilbert, shard, slot, *carry) for every row of ``docs``."""
-    spark = docs.sparkSession
     d = pick(docs, "doc_id", "text", "lang", "source", *carry).withColumn("text", F.col("text").cast("string"))
     rows = d.select(
         "doc_id",
@@ -119,13 +144,15 @@ def plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, carry: tuple[s
         "source",
         *carry,
     )
-    rows = materialize(rows, "rows")
+    # the number tells repeated rows apart, so that they can be dealt out
+    rows = materialize(rows.withColumn("nth", F.monotonically_increasing_id()), "rows")
     # equal texts share the cell of their least metadata; groups of one row need no join
     groups = rows.groupBy("group").agg(
         F.count(F.lit(1)).alias("g_rows"), F.sum("size").alias("g_bytes"), *[F.min(c).alias(f"g_{c}") for c in ("lang", "source", "doc_id")]
     )
     many = materialize(groups.where("g_rows > 1"), "groups")
-    met = rows.join(many, "group", "left")
+    total = rows.count()
+    met = meet(rows, many, "group", "g_rows", total)
     shown = {c: F.when(F.col("g_rows").isNull(), F.col(c)).otherwise(F.col(f"g_{c}")).alias(c) for c in ("lang", "source", "doc_id")}
     cell = rows.select("size", "lang", "source", "doc_id")
     by = _quantised(cell, bits)
@@ -134,24 +161,14 @@ def plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, carry: tuple[s
     # the cell's coordinates are fixed before the curve reads each of them once a bit
     placed = placed.withColumn("cell", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(by)]))
     placed = placed.withColumn("hilbert", hilbert_index([F.col("cell")[f"c{i}"] for i in range(len(by))], bits))
-    placed = placed.select("group", "g_rows", "g_bytes", "size", "text_crc32", "hilbert", *carry, *[F.col("own")[c].alias(c) for c in ("lang", "source", "doc_id")])
+    placed = placed.select("group", "g_rows", "g_bytes", "size", "text_crc32", "hilbert", "nth", *carry, *[F.col("own")[c].alias(c) for c in ("lang", "source", "doc_id")])
     placed = materialize(placed, "placed")  # the sort reads it twice, once for its bounds
-    order = ("hilbert", "group", "doc_id", "lang", "source")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(placed.repartitionByRange(width, *order).withColumn("part", F.spark_partition_id()), "ranged")
-    # running sums: within each range, carried on by the sums of the ranges before it
-    w = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    parts = ranged.groupBy("part").agg(F.sum("size").alias("p_bytes"), F.count(F.lit(1)).alias("p_rows"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    every = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    parts = parts.select("part", F.coalesce(F.sum("p_bytes").over(before), F.lit(0)).alias("p_start"), F.coalesce(F.sum("p_rows").over(before), F.lit(0)).alias("p_first"), F.sum("p_bytes").over(every).alias("total"))
-    run = ranged.withColumn("upto", F.sum("size").over(w)).withColumn("rn", F.row_number().over(W.partitionBy("part").orderBy(*order)))
-    run = run.join(F.broadcast(parts), "part")  # one row for each shuffle partition
-    run = run.select("*", (F.col("p_start") + F.col("upto") - F.col("size")).alias("start"), (F.col("p_first") + F.col("rn") - 1).alias("idx"))
+    run = running(placed, ("hilbert", "group", "doc_id", "lang", "source", "nth"), "size")
+    run = run.withColumn("start", F.col("upto_size") - F.col("size")).withColumnRenamed("total_size", "total")
     run = materialize(run.select("doc_id", "size", "text_crc32", "group", "g_rows", "g_bytes", "lang", "source", "hilbert", "start", "idx", "total", *carry), "run")
-    whole = (F.col("g_rows") > 1) & (F.col("g_bytes") * (shards * WHOLE) <= F.col("total"))
-    firsts = run.where(whole).groupBy("group").agg(F.min("start").alias("g_start"))
-    cut = run.join(firsts, "group", "left")
+    whole = F.coalesce((F.col("g_rows") > 1) & (F.col("g_bytes") * (shards * WHOLE) <= F.col("total")), F.lit(False))
+    firsts = materialize(run.where(whole).groupBy("group").agg(F.min("start").alias("g_start"), F.count(F.lit(1)).alias("n")), "firsts")
+    cut = meet(run.where(whole), firsts, "group", "n", total).drop("n").unionByName(run.where(~whole).withColumn("g_start", F.lit(None).cast("long")))
     middle = F.when(F.col("g_start").isNotNull(), 2 * F.col("g_start") + F.col("g_bytes")).otherwise(2 * F.col("start") + F.col("size"))
     cut = cut.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / (2 * F.col("total")))).cast("int"))
     cut = materialize(cut, "cut")
@@ -179,5 +196,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
     numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     planned = materialize(plan(numbered, shards, carry=("_row",)), "plan")
     rows = numbered.join(planned.select("_row", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")), "_row").drop("_row")
-    rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+    # each shard is written by as many tasks as its ranges take, in files that follow each other
+    rows.repartitionByRange(_width(rows), "_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
     return manifest(planned)
