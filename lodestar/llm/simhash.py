@@ -6,8 +6,8 @@ A fingerprint is 64 bits; two link when they differ in at most ``MAX_BITS`` = 3.
    group of exact copies, however large, is one row from here on.
 2. The 64 bits are cut into six blocks.  Fingerprints that differ in three bits agree on three whole blocks
    at least, so each class goes into 20 buckets, one per choice of three blocks (33 key bits or so).
-3. Within a bucket, each class has a row of Hamming distances to ``N_PIVOTS`` reference fingerprints.  By the
-   triangle inequality a pair whose rows differ by more than 3 in any coordinate cannot link; such pairs are
+3. Each class has a row in the pivot table: its Hamming distances to ``N_PIVOTS`` reference fingerprints, computed once
+   and carried into the class's buckets, eight to a long.  By the triangle inequality a pair within a bucket whose rows differ by more than 3 in any coordinate cannot link; such pairs are
    discarded and the survivors are verified.  Only the edges of a spanning forest leave the bucket.
 4. A bucket with more than ``MAX_BUCKET`` classes is not paired.  Its classes are sent to the points at
    distance 1 and 2 in the bits outside the key: two classes at distance 3 or less share a point that is at
@@ -21,14 +21,18 @@ Pivots alone cannot deal out the work: distances of random 64-bit fingerprints t
 deviation of 4, so cells of pivot distances that admit a difference of 3 discard less than they duplicate.
 Buckets by whole blocks bring the candidates together, pivots discard, and the exact distance decides.
 
-Defined results: null and empty texts have fingerprint zero, linked like any other; repeated rows get the same
-component; where all doc_ids of a component are null its id is null; an empty table gives an empty table.
+Tables with a row for each document meet those with a row for each class or component by ``meet``, so a fingerprint or a
+component that holds a third of all rows is not one task's work.
+
+Defined results: null and empty texts have fingerprint zero, linked like any other; repeated rows and ties get the same
+component; where all doc_ids of a component are null its id is null; a very long text is read whole, in blocks of words;
+extra columns are ignored, or carried along by ``survivors``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -36,9 +40,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from lodestar.llm.common import FOLD_AZ, checked, materialize, pick, positional, ship_code, word_blocks
+from lodestar.llm.common import FOLD_AZ, checked, materialize, meet, pick, positional, ship_code, word_blocks
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -118,13 +121,24 @@ class _Forest:
         return a != b
 
 
-def bucket_pairs(starts: np.ndarray, fps: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pivot_table(classes: DataFrame) -> DataFrame:
+    """(fp, d0, d1): the distances of each fingerprint to the pivots, one byte each."""
+    refs = pivots().view(np.int64).tolist()
+    near = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("long"), 8 * (i % 8)) for i, r in enumerate(refs)]
+    return classes.select("fp", *[reduce(Column.bitwiseOR, near[i : i + 8]).alias(f"d{i // 8}") for i in (0, 8)])
+
+
+def _distances(d0: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    """Rows of the pivot table as bytes."""
+    return np.stack([d0, d1], axis=1).astype("<i8").view(np.int8)
+
+
+def bucket_pairs(starts: np.ndarray, fps: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linking pairs (indices) within runs of ``fps`` that begin at ``starts``: pivot table, then verification."""
     sizes = np.diff(np.append(starts, len(fps)))
     run_end = np.repeat(starts + sizes, sizes)
     later = run_end - np.arange(len(fps)) - 1
     out_a, out_b = [], []
-    table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
     at = 0
     while at < len(fps):
         # as many left members as make about a million pairs
@@ -150,11 +164,10 @@ def _links(batches: Iterator[pa.RecordBatch], max_bucket: int) -> Iterator[pa.Re
     Output rows are (choice, a, b): an edge where choice is null, a class ``a`` of a large bucket otherwise.
     A bucket may span batches; at most ``max_bucket`` of its members are held, besides the batch.
     """
-    refs = pivots()
-    held = (np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, np.uint64))
+    held = (np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty((0, N_PIVOTS), np.int8))
     large: tuple | None = None  # key of a bucket already known to be large
 
-    def work(choice, key, fps):
+    def work(choice, key, fps, table):
         if not len(fps):
             return None
         new = np.ones(len(fps), dtype=bool)
@@ -175,7 +188,7 @@ def _links(batches: Iterator[pa.RecordBatch], max_bucket: int) -> Iterator[pa.Re
         if len(keep):
             sub = fps[keep]
             sub_starts = np.flatnonzero(new[keep])
-            x, y = bucket_pairs(sub_starts, sub, refs)
+            x, y = bucket_pairs(sub_starts, sub, table[keep])
             forest = _Forest(len(sub))
             for i, j in zip(x.tolist(), y.tolist()):
                 if forest.join(i, j):
@@ -185,19 +198,20 @@ def _links(batches: Iterator[pa.RecordBatch], max_bucket: int) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], names=["choice", "a", "b"]) if c else None
 
     for batch in batches:
-        cols = [batch.column("choice").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)]
-        choice, key, fps = (np.concatenate([h, c]) for h, c in zip(held, cols))
+        choice, key, fps, d0, d1 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "key", "fp", "d0", "d1"))
+        cols = (choice, key.view(np.uint64), fps.view(np.uint64), _distances(d0, d1))
+        choice, key, fps, table = cols = tuple(np.concatenate([h, c]) for h, c in zip(held, cols))
         if not len(fps):
             continue
         changes = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1]))
         first = int(changes[-1]) + 1 if len(changes) else 0  # the last bucket, which may go on in the next batch
         last = (int(choice[-1]), int(key[-1]))
         if len(fps) - first > max_bucket or large == last:
-            done = work(choice, key, fps)
-            large, held = last, tuple(x[:0] for x in (choice, key, fps))
+            done = work(*cols)
+            large, held = last, tuple(x[:0] for x in cols)
         else:
-            done = work(choice[:first], key[:first], fps[:first])
-            held = (choice[first:], key[first:], fps[first:])
+            done = work(*(x[:first] for x in cols))
+            held = tuple(x[first:] for x in cols)
         if done is not None:
             yield done
     done = work(*held)
@@ -251,7 +265,7 @@ def links(classes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints; their components are those of all links."""
     spark = classes.sparkSession
     ship_code(spark)
-    keyed = classes.select("fp", F.explode(_bucket_keys()).alias("k")).select("k.choice", "k.key", "fp")
+    keyed = pivot_table(classes).select("fp", "d0", "d1", F.explode(_bucket_keys()).alias("k")).select("k.choice", "k.key", "fp", "d0", "d1")
     dealt = keyed.repartition(_width(spark), "choice", "key").sortWithinPartitions("choice", "key", "fp")
     found = materialize(dealt.mapInArrow(partial(_links, max_bucket=max_bucket), "choice int, a long, b long"), "links")
     edges = found.where("choice is null").select("a", "b")
@@ -294,35 +308,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rooted(prints: DataFrame) -> DataFrame:
-    """(fp, root, first_id) of every distinct fingerprint: its component's least fingerprint, its own least doc_id."""
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    """(fp, root, first_id, n) of every distinct fingerprint: its component's least fingerprint, its own least doc_id and
+    number of rows."""
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes")
     roots = components(links(classes.select("fp")))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    return named.select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    return materialize(named.select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "n"), "roots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the least doc_id reachable over links."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    named = materialize(_rooted(prints), "roots")
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    named = _rooted(prints)
+    ids = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("prints")), "components")
+    by_print = materialize(meet(named.select("fp", "root", "n"), ids, "root", "prints", named.count()).select("fp", "component_id", "n"), "by_print")
+    return meet(prints, by_print, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of each component, with its own columns: that with the least doc_id, then the least text hash; of
-    rows repeated with both the same, the first by its columns.
+    rows repeated with both the same, the first by its columns as JSON.
 
     The rows that go are found on narrow tables.  ``docs`` then meets those only, in memory if they are few.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
-    named = _rooted(prints).select("fp", "root")
+    named = _rooted(prints).select("fp", "root", F.col("n").alias("of_print"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    rows = prints.groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(named, "fp").withColumn("at", order)
-    rows = materialize(rows.select("root", "doc_id", "h", "n", "at"), "members")
-    best = rows.groupBy("root").agg(F.min("at").alias("best"))
-    met = materialize(rows.join(best, "root").select("doc_id", "h", "n", (F.col("at") == F.col("best")).alias("stays")), "verdicts")
+    rows = prints.groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    total = prints.count()
+    rows = materialize(meet(rows, named, "fp", "of_print", total).withColumn("at", order).select("root", "doc_id", "h", "n", "at"), "members")
+    best = materialize(rows.groupBy("root").agg(F.min("at").alias("best"), F.count(F.lit(1)).alias("of_root")), "best")
+    met = materialize(meet(rows, best, "root", "of_root", total).select("doc_id", "h", "n", (F.col("at") == F.col("best")).alias("stays")), "verdicts")
     gone = materialize(met.where("not stays").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "gone")
     again = materialize(met.where("stays and n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "repeated")
     plain, where, names = positional(docs)
@@ -330,9 +346,11 @@ def survivors(docs: DataFrame) -> DataFrame:
     same = F.col(where["doc_id"]).eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h"))
     left = keyed.join(checked(gone), same, "left_anti")
     if again.count():
-        among = W.partitionBy(where["doc_id"], "h").orderBy(*plain.columns)
-        some = left.join(again, same, "left_semi").withColumn("_n", F.row_number().over(among)).where("_n = 1").drop("_n")
-        left = left.join(again, same, "left_anti").unionByName(some)
+        one = F.struct(*plain.columns)
+        # partial aggregates, so that each task passes on one of its repeated rows
+        some = left.join(checked(again), same, "left_semi").groupBy(where["doc_id"], "h").agg(F.min_by(one, F.to_json(one)).alias("row"))
+        left = left.join(checked(again), same, "left_anti").drop("h").unionByName(some.select("row.*"))
+        return left.toDF(*names)
     return left.drop("h").toDF(*names)
 
 

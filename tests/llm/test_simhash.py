@@ -99,3 +99,35 @@ def test_survivors(edge, none):
     want = {str(r.component_id) for r in simhash.near_duplicates(edge).collect()}
     assert ids == sorted([*want, "4"])
     assert simhash.survivors(none).count() == 0
+
+
+def test_pivot_table(spark):
+    """Distances by hand; and no pair within three bits is ever discarded by them."""
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    fps += [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in fps[:150]]
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    got = simhash.pivot_table(df).collect()
+    table = simhash._distances(np.array([r.d0 for r in got]), np.array([r.d1 for r in got]))
+    refs = [int(p) for p in simhash.pivots()]
+    assert table.tolist() == [[(x ^ p).bit_count() for p in refs] for x in fps]
+    a, b = simhash.bucket_pairs(np.array([0]), np.array(fps, np.uint64), table)
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(want) >= 150
+
+
+def test_hot_keys_meet_apart(spark, monkeypatch):
+    """A fingerprint and a component that hold most rows, with tables too large for memory: the same result."""
+    from lodestar.llm import common
+
+    rng = random.Random(9)
+    made = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(12))) for i in range(60)] + [(100 + i, "the very same text in many rows") for i in range(120)] + [(300, "twice"), (300, "twice"), (None, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string").withColumn("m", __import__("pyspark").sql.functions.expr("map('a', doc_id)"))
+    want = sorted((str(r.doc_id), r.fp, str(r.component_id)) for r in simhash.near_duplicates(df).collect())
+    kept = sorted(str(r.doc_id) for r in simhash.survivors(df).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.2)
+    assert sorted((str(r.doc_id), r.fp, str(r.component_id)) for r in simhash.near_duplicates(df).collect()) == want
+    got = simhash.survivors(df).collect()
+    assert sorted(str(r.doc_id) for r in got) == kept and kept.count("300") == 1
+    assert len(kept) == len({x[2] for x in want})
