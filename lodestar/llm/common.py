@@ -78,17 +78,18 @@ def checked(df: DataFrame) -> DataFrame:
 HOT_SHARE = 1 / 1000
 
 
-def meet(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``rows`` left-joined with ``table``, a written table with one row a key and the key's number of ``rows`` in ``count``.
+def meet(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined (``left`` or ``inner``) with ``table``, a written table with a key's number of ``rows`` in ``count``.
 
     A small table goes to every executor.  Of a larger one the hot keys do, which are few by their definition, and
     only the rows of other keys are shuffled.
     """
     if written_bytes(table) <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(table), key, "left")
-    hot = F.broadcast(table.where(F.col(count) > total * HOT_SHARE))
-    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= total * HOT_SHARE), key, "left")
-    return rows.join(hot, key).unionByName(cold)
+        return rows.join(F.broadcast(table), key, how)
+    is_hot = F.col(count) > total * HOT_SHARE
+    names = F.broadcast(table.where(is_hot).select(key).distinct())
+    cold = rows.join(names, key, "left_anti").join(table.where(~is_hot), key, how)
+    return rows.join(checked(table.where(is_hot)), key).unionByName(cold)
 
 
 #: Most bytes in a batch that goes to Python.  The default, 64 MB, is held several times over by each task.

@@ -13,12 +13,16 @@
 Lists of common terms are never paired with each other: step 4 reads them only at the positions that the
 rare terms have left.
 
-Proximity matches (``proximity``) are looser: the ``NEAR_TERMS`` rarest terms of an item, each within ``SLOP``
-words of where the item's rarest one puts it.
+Proximity matches (``proximity``) are looser.  Every tenth window of an item, and its last, is a block; an item's words that the
+corpus lacks are left out.  A block is near a place in a document if one of its two rarest words stands there and, of
+its ``NEAR_TERMS`` rarest, all but one stand within ``SLOP`` words of where the first puts them (all, if it has fewer).
 
-Defined results: null has no words; an item without words is no item; repeated item rows count once by
+The postings also hold, under the term ``LENGTH``, each document's id and number of words.
+
+Defined results: null has no words; an item without words is no item; repeated item rows and ties count once by
 item_id (null item_ids are left out of lists and counts of items, but their hits count); repeated documents
-are judged one by one; an empty corpus gives an empty table and an empty benchmark no hits.
+are judged one by one; a very long text is indexed whole; extra columns are ignored, or carried along by ``clean``; an
+empty corpus gives an empty table and an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -27,16 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.llm.common import checked, fold_ascii, materialize, pick, positional
+from lodestar.llm.common import checked, fold_ascii, materialize, meet, pick, positional
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 NEAR_TERMS = 4
 SLOP = 5
+#: The term that stands for a document's length; no word holds such a character.
+LENGTH, LENGTH_TERM = -1, "\0"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(fold_ascii(text), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(fold_ascii(text), SEPARATORS), "")
 
 
 def key_of(doc_id: str, text: str) -> list[Column]:
@@ -44,11 +50,6 @@ def key_of(doc_id: str, text: str) -> list[Column]:
     return [F.xxhash64(F.col(doc_id).cast("string")).alias("k1"), F.xxhash64(F.col(text).cast("string")).alias("k2")]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    d = pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
-    return d.select("doc_id", *key_of("doc_id", "text"), words(F.col("text")).alias("words"))
-
-
 def item_terms(bench: DataFrame) -> DataFrame:
     """(item, item_id, len, off, term) for each word of each item; ``item`` numbers the rows."""
     b = pick(bench, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("words"))
@@ -57,20 +58,26 @@ def item_terms(bench: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(k1, k2, pos, tid) for every occurrence of a term of ``terms`` (term, tid)."""
-    tok = _keyed(docs).select("k1", "k2", F.posexplode("words").alias("pos", "term"))
-    return tok.join(checked(terms), "term").select("k1", "k2", "pos", "tid")
+    """(k1, k2, pos, tid, doc_id) for every occurrence of a term of ``terms`` (term, tid), and one row a document with its
+    number of words as ``pos`` and its id, which is null elsewhere."""
+    d = pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    found = F.concat(F.coalesce(words(F.col("text")), F.array().cast("array<string>")), F.array(F.lit(LENGTH_TERM)))
+    tok = d.select(*key_of("doc_id", "text"), "doc_id", F.posexplode(found).alias("pos", "term"))
+    return tok.join(checked(terms), "term").select("k1", "k2", "pos", "tid", F.when(F.col("tid") == LENGTH, F.col("doc_id")).alias("doc_id"))
 
 
 class Index:
     """The postings of a corpus for the terms of a benchmark, written to the shared folder."""
 
     def __init__(self, docs: DataFrame, bench: DataFrame):
-        self.docs = docs
         raw = materialize(item_terms(bench), "items")
-        self.terms = materialize(raw.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms")
-        self.postings = materialize(postings(docs, self.terms), "postings")
-        counts = self.postings.groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+        length = docs.sparkSession.createDataFrame([(LENGTH_TERM, LENGTH)], "term string, tid long")
+        self.terms = materialize(raw.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()).unionByName(length), "terms")
+        every = materialize(postings(docs, self.terms), "postings")
+        self.lengths = every.where(F.col("tid") == LENGTH).select("doc_id", "k1", "k2", F.col("pos").cast("long").alias("n_words"))
+        self.postings = every.where(F.col("tid") != LENGTH).drop("doc_id")
+        counts = materialize(self.postings.groupBy("tid").agg(F.count(F.lit(1)).alias("n")), "counts")
+        self.total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         counted = self.terms.join(counts, "tid", "left").select("term", "tid", F.coalesce("n", F.lit(0)).alias("n"))
         self.items = materialize(raw.join(counted, "term").select("item", "item_id", "len", "off", "tid", "n"), "items")
 
@@ -81,22 +88,25 @@ class Index:
         rows = self.items.select("item", "off", "tid", "n", F.explode(starts).alias("start"))
         by = W.partitionBy("item", "start")
         rows = rows.withColumn("least", F.min("n").over(by)).withColumn("rank", F.row_number().over(by.orderBy("n", "off")))
-        return rows.where("least > 0").select("item", "start", "off", "tid", "rank")
+        return rows.where("least > 0").select("item", "start", "off", "tid", "n", "rank")
+
+    def _lists(self, anchors: DataFrame) -> DataFrame:
+        """The postings of the anchors' terms (tid, n, ...), with the anchors' columns."""
+        return meet(self.postings, materialize(anchors, "anchors"), "tid", "n", self.total, "inner").drop("n")
 
     def _alignments(self, anchors: DataFrame, *keys: str) -> DataFrame:
         """Where postings of the anchors' terms put the items' beginnings."""
-        hits = self.postings.join(checked(materialize(anchors, "anchors")), "tid")
-        return hits.select("k1", "k2", *keys, (F.col("pos") - F.col("off")).alias("at")).distinct()
+        return self._lists(anchors).select("k1", "k2", *keys, (F.col("pos") - F.col("off")).alias("at")).distinct()
 
     def candidates(self) -> DataFrame:
         """(k1, k2, item, at): alignments at which the two rarest terms of some window occur."""
         ranked = materialize(self._windows(), "windows")
         # a window's rarest terms as pairs of offsets: many windows of an item share one pair
-        first = ranked.where("rank = 1").select("item", "start", F.col("off").alias("off1"), F.col("tid").alias("tid1"))
-        second = ranked.where("rank = 2").select("item", "start", F.col("off").alias("off2"), F.col("tid").alias("tid2"))
-        pairs = materialize(first.join(second, ["item", "start"], "left").select("item", "off1", "tid1", "off2", "tid2").distinct(), "pairs")
-        a1 = self._alignments(pairs.select("item", F.col("off1").alias("off"), F.col("tid1").alias("tid")).distinct(), "item", "off")
-        a2 = self._alignments(pairs.where("off2 is not null").select("item", F.col("off2").alias("off"), F.col("tid2").alias("tid")).distinct(), "item", "off")
+        first = ranked.where("rank = 1").select("item", "start", F.col("off").alias("off1"), F.col("tid").alias("tid1"), F.col("n").alias("n1"))
+        second = ranked.where("rank = 2").select("item", "start", F.col("off").alias("off2"), F.col("tid").alias("tid2"), F.col("n").alias("n2"))
+        pairs = materialize(first.join(second, ["item", "start"], "left").select("item", "off1", "tid1", "n1", "off2", "tid2", "n2").distinct(), "pairs")
+        a1 = self._alignments(pairs.select("item", F.col("off1").alias("off"), F.col("tid1").alias("tid"), F.col("n1").alias("n")).distinct(), "item", "off")
+        a2 = self._alignments(pairs.where("off2 is not null").select("item", F.col("off2").alias("off"), F.col("tid2").alias("tid"), F.col("n2").alias("n")).distinct(), "item", "off")
         both = a1.withColumnRenamed("off", "off1").join(checked(pairs.select("item", "off1", "off2")), ["item", "off1"])
         alone = both.where("off2 is null").select("k1", "k2", "item", "at")
         met = both.where("off2 is not null").join(a2.withColumnRenamed("off", "off2"), ["k1", "k2", "item", "at", "off2"], "left_semi")
@@ -114,32 +124,54 @@ class Index:
         sized = runs.withColumn("run_len", F.count(F.lit(1)).over(W.partitionBy("k1", "k2", "item", "at", "run")))
         return sized.where(F.col("run_len") >= F.least(F.lit(WINDOW), F.col("len"))).select("k1", "k2", "item", "item_id", "pos")
 
+    def _blocks(self) -> DataFrame:
+        """(item, item_id, start, off, tid, n, rank, of): the ``NEAR_TERMS`` rarest words of each block that the corpus has."""
+        last = F.greatest(F.col("len") - WINDOW, F.lit(0))
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(WINDOW)), F.array(last)))
+        here = F.filter(starts, lambda s: (s <= F.col("off")) & (F.col("off") < s + WINDOW))
+        rows = self.items.where("n > 0").select("item", "item_id", "off", "tid", "n", F.explode(here).alias("start"))
+        by = W.partitionBy("item", "start")
+        ranked = rows.withColumn("rank", F.row_number().over(by.orderBy("n", "off"))).where(F.col("rank") <= NEAR_TERMS)
+        return ranked.withColumn("of", F.count(F.lit(1)).over(by))
+
     def proximity(self) -> DataFrame:
-        """(k1, k2, item_id): documents with an item's rarest terms near where its very rarest puts them."""
-        by = W.partitionBy("item")
-        once = self.items.groupBy("item", "item_id", "tid", "n").agg(F.min("off").alias("off"))
-        rare = once.withColumn("least", F.min("n").over(by)).withColumn("rank", F.row_number().over(by.orderBy("n", "off")))
-        rare = materialize(rare.where(f"rank <= {NEAR_TERMS} and n > 0").withColumn("of", F.count(F.lit(1)).over(by)).select("item", "item_id", "tid", "off", "rank", "of"), "rare")
-        lists = self.postings.join(checked(rare), "tid").select("k1", "k2", "item", "item_id", "rank", "of", (F.col("pos") - F.col("off")).alias("at"))
+        """(k1, k2, item_id): documents with a block of an item nearly in place.
+
+        All but one of a block's ``NEAR_TERMS`` rarest words hold all but one of the others without the commonest, so the
+        commonest word's list is read only where the others have met, and not all did.
+        """
+        blocks = materialize(self._blocks(), "blocks")
+        lists = self._lists(blocks.where(F.col("rank") < NEAR_TERMS)).select("k1", "k2", "item", "item_id", "start", "rank", "of", (F.col("pos") - F.col("off")).alias("at"))
         lists = materialize(lists, "lists")
         cell = lambda c: F.floor(c / F.lit(SLOP + 1))
-        lead = lists.where("rank = 1").select("k1", "k2", "item", "item_id", "of", F.col("at").alias("at1"), F.explode(F.array(*[cell(F.col("at")) + i for i in (-1, 0, 1)])).alias("cell"))
-        rest = lists.where("rank > 1").select("k1", "k2", "item", "rank", "at", cell(F.col("at")).alias("cell"))
-        near = lead.join(rest, ["k1", "k2", "item", "cell"]).where(F.abs(F.col("at") - F.col("at1")) <= SLOP)
-        full = near.groupBy("k1", "k2", "item", "item_id", "of", "at1").agg(F.countDistinct("rank").alias("met")).where("met = of - 1")
-        alone = lead.where("of = 1").select("k1", "k2", "item_id")
-        return full.select("k1", "k2", "item_id").unionByName(alone).distinct()
+        place = ["k1", "k2", "item", "item_id", "start", "of", "lead", "at1"]
+        lead = lists.where("rank <= 2").select(*place[:6], F.col("rank").alias("lead"), F.col("at").alias("at1"))
+        cells = lead.where("of > 1").select("*", F.explode(F.array(*[cell(F.col("at1")) + i for i in (-1, 0, 1)])).alias("cell"))
+        rest = lists.select("k1", "k2", "item", "start", "rank", "at", cell(F.col("at")).alias("cell"))
+        near = cells.join(rest, ["k1", "k2", "item", "start", "cell"]).where((F.abs(F.col("at") - F.col("at1")) <= SLOP) & (F.col("rank") != F.col("lead")))
+        met = materialize(near.groupBy(*place).agg((F.countDistinct("rank") + 1).alias("met")), "met")
+        most = F.col("of") == NEAR_TERMS
+        full = met.where(F.col("met") >= F.when(most, NEAR_TERMS - 1).otherwise(F.col("of")))
+        # the commonest word, where it decides
+        common = blocks.where(F.col("rank") == NEAR_TERMS).select("item", "start", "off", "tid")
+        open_ = met.where(most & (F.col("met") == NEAR_TERMS - 2)).select("k1", "k2", "item", "item_id", "start", "at1")
+        want = materialize(open_.join(common, ["item", "start"]).select("k1", "k2", "tid", "item_id", (F.col("at1") + F.col("off")).alias("to")).distinct(), "wanted")
+        at = self.postings.join(checked(materialize(want.select("tid").distinct(), "tids")), "tid", "left_semi")
+        last = at.join(checked(want), ["k1", "k2", "tid"]).where(F.abs(F.col("pos") - F.col("to")) <= SLOP)
+        alone = lead.where("of = 1")
+        return full.select("k1", "k2", "item_id").unionByName(last.select("k1", "k2", "item_id")).unionByName(alone.select("k1", "k2", "item_id")).distinct()
 
     def report(self) -> DataFrame:
         """A row for each document: its words, hits and items."""
         hits = materialize(self.hits(), "hits")
-        by_pos = hits.groupBy("k1", "k2", "pos").agg(F.collect_set("item_id").alias("ids"))
-        per = by_pos.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
-        near = self.proximity().groupBy("k1", "k2").agg(F.countDistinct("item_id").alias("n_near"))
-        per, near = materialize(per, "report"), materialize(near, "near")
-        docs = _keyed(self.docs).select("doc_id", "k1", "k2", F.greatest(F.size("words"), F.lit(0)).cast("long").alias("n_words"))
+        key = ["k1", "k2"]
+        n_hit = hits.select(*key, "pos").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit"))
+        # a document's own items, in one list as its digest needs them
+        items = hits.where("item_id is not null").select(*key, "item_id").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+        near = self.proximity().groupBy(*key).agg(F.countDistinct("item_id").alias("n_near"))
+        per, near = materialize(n_hit.join(items, key, "left"), "report"), materialize(near, "near")
         ids = F.coalesce("ids", F.array().cast("array<string>"))
-        return docs.join(per, ["k1", "k2"], "left").join(near, ["k1", "k2"], "left").select(
+        return self.lengths.join(checked(per), key, "left").join(checked(near), key, "left").select(
             "doc_id",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

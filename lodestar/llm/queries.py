@@ -151,18 +151,18 @@ with dw as (
 ), cnt as (
   select w, count(*) as n from tok group by w
 ), it as (
-  select item, item_id, w, min(off) as off from (select item, item_id, unnest(ws) as w, unnest(range(len(ws))) as off from iw) group by item, item_id, w
+  select item, item_id, ws[off + 1] as w, off, len(ws) as l from (select item, item_id, ws, unnest(range(len(ws))) as off from iw)
+), bl as (
+  select item, item_id, w, off, n, unnest(list_distinct(list_concat(range(0, greatest(l - 9, 1), 10), [greatest(l - 10, 0)]))) as s from it join cnt using (w)
 ), rk as (
-  select it.*, coalesce(n, 0) as n, row_number() over (partition by item order by coalesce(n, 0), off) as r from it left join cnt using (w)
+  select *, row_number() over (partition by item, s order by n, off) as r from bl where off >= s and off < s + 10
 ), rare as (
-  select *, min(n) over (partition by item) as least, count(*) over (partition by item) as terms from rk where r <= 4
+  select *, count(*) over (partition by item, s) as of_ from rk where r <= 4
 ), al as (
-  select rid, item, item_id, r, terms, p - off as beg from rare join tok using (w) where least > 0
-), lead_ as (
-  select distinct rid, item, item_id, terms, beg from al where r = 1
+  select distinct rid, item, item_id, s, r, of_, p - off as beg from rare join tok using (w)
 ), full_ as (
-  select l.rid, l.item_id from lead_ l left join al on al.rid = l.rid and al.item = l.item and al.r > 1 and abs(al.beg - l.beg) <= 5
-  group by l.rid, l.item, l.item_id, l.terms, l.beg having count(distinct al.r) = l.terms - 1
+  select l.rid, l.item_id from al l join al o on o.rid = l.rid and o.item = l.item and o.s = l.s and abs(o.beg - l.beg) <= 5
+  where l.r <= 2 and (o.r <> l.r or o.beg = l.beg) group by l.rid, l.item, l.item_id, l.s, l.r, l.of_, l.beg having count(distinct o.r) >= case when l.of_ = 4 then 3 else l.of_ end
 ), nr as (
   select rid, count(distinct item_id) as n_near from full_ group by rid
 )

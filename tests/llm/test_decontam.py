@@ -73,3 +73,51 @@ def test_proximity(spark):
     index = decontam.Index(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, item)], ITEM))
     got = {r.doc_id: (r.contaminated, r.n_near) for r in index.report().collect()}
     assert got[1] == (True, 1) and got[2] == (False, 1) and got[3] == (False, 0) and got[4] == (False, 0)
+
+
+def brute_near(docs, items):
+    """(doc number, item_id) of near items, by the definition."""
+    texts = [words(t) for _, t in docs]
+    n = {}
+    for ws in texts:
+        for w in ws:
+            n[w] = n.get(w, 0) + 1
+    out = set()
+    for i, t in items:
+        iw = words(t)
+        for s in sorted({*range(0, max(len(iw) - 9, 1), 10), max(len(iw) - 10, 0)}):
+            rare = sorted((n[w], off) for off, w in list(enumerate(iw))[s : s + 10] if w in n)[:4]
+            offs = [off for _, off in rare]
+            need = 3 if len(offs) == 4 else len(offs)
+            for d, ws in enumerate(texts):
+                for lead in offs[:2]:
+                    for p in [p for p, w in enumerate(ws) if w == iw[lead]]:
+                        met = sum(o == lead or any(abs(q - o - (p - lead)) <= 5 for q, w in enumerate(ws) if w == iw[o]) for o in offs)
+                        if met >= need:
+                            out.add((d, i))
+    return out
+
+
+def test_proximity_by_brute_force(spark, monkeypatch, duck, rows):
+    """Items with words that the corpus lacks, parts of long items, and replaced words; with tables in memory and without."""
+    from lodestar.llm import common
+    from lodestar.llm.queries import OP4_SQL
+
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([1, 3, 9, 10, 24, 40])))) for i in range(14)] + [(50, "w1 absent w2 w3"), (51, "gone never"), (52, "w9"), (53, "")]
+    docs = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 60)))) for i in range(30)]
+    for i in range(8, 14):
+        ws = words(items[i][1])
+        ws[len(ws) // 2] = "replaced"
+        docs.append((100 + i, " ".join(rng.choices(vocab, k=9) + ws[: 2 * len(ws) // 3] + rng.choices(vocab, k=5))))
+    docs.append((200, "w1 x w2 w3"))
+    df, bench = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
+    want = brute_near(docs, items)
+    count = {docs[d][0]: sum(x == d for x, _ in want) for d in range(len(docs))}
+    got = decontam.decontaminate(df, bench).select(*EVERY)
+    assert {r.doc_id: r.n_near for r in got.collect()} == count and count[200] >= 1 and all(count[100 + i] for i in range(8, 14) if len(words(items[i][1])) >= 24)
+    assert rows(got) == duck(OP4_SQL, documents=df, benchmark=bench)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.02)
+    assert {r.doc_id: (r.n_near, r.n_hit) for r in decontam.decontaminate(df, bench).collect()} == {r.doc_id: (r.n_near, r.n_hit) for r in got.collect()}
