@@ -62,7 +62,8 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     number of words as ``pos`` and its id, which is null elsewhere."""
     d = pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
     found = F.concat(F.coalesce(words(F.col("text")), F.array().cast("array<string>")), F.array(F.lit(LENGTH_TERM)))
-    tok = d.select(*key_of("doc_id", "text"), "doc_id", F.posexplode(found).alias("pos", "term"))
+    # the keys are made once a document, before its words are rows
+    tok = d.select(*key_of("doc_id", "text"), "doc_id", found.alias("words")).select("k1", "k2", "doc_id", F.posexplode("words").alias("pos", "term"))
     return tok.join(checked(terms), "term").select("k1", "k2", "pos", "tid", F.when(F.col("tid") == LENGTH, F.col("doc_id")).alias("doc_id"))
 
 
