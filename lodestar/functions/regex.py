@@ -11,16 +11,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_META = set("\\.+*?()|[]{}^$#&-~/ ")
-
-
 class PatternError(ValueError):
     """A pattern that can't be used, with advice."""
 
 
 def escape(text: str) -> str:
-    """``text`` as a pattern that matches it and nothing else."""
-    return "".join("\\" + c if c in _META else c for c in text)
+    """``text`` quoted as a whole for Spark's patterns; where it holds the end of a quotation, that is quoted by itself."""
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
 def _strip_classes(pattern: str) -> str:

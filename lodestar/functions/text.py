@@ -88,13 +88,20 @@ def proximity(a: str, b: str) -> int:
     return n
 
 
-def proximity_to(path: Column, to: str) -> Column:
-    """``proximity`` of a column to one path: the length of the common prefix of components."""
-    parts = to.split("/")
-    n = F.lit(0)
-    for i in range(len(parts), 0, -1):
-        n = F.when(F.slice(F.split(path, "/"), 1, i) == F.array(*[F.lit(p) for p in parts[:i]]), F.greatest(n, F.lit(i))).otherwise(n)
-    return n
+def shared_components(a: Column, b: Column) -> Column:
+    """``proximity`` of two columns of paths."""
+    x, y = F.split(a, "/"), F.split(b, "/")
+    least = F.least(F.size(x), F.size(y))
+    differs = F.array_position(F.zip_with(F.slice(x, F.lit(1), least), F.slice(y, F.lit(1), least), lambda p, q: p != q), True)
+    return F.when(differs > 0, differs - 1).otherwise(least).cast("int")
+
+
+def clip_utf8(text: Column, most: int) -> Column:
+    """At most ``most`` bytes of a text, cut on the border of a character."""
+    raw = F.encode(text, "utf-8")
+    goes_on = lambda n: F.substring(raw, n + 1, 1).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    at = F.when(~goes_on(most), most).when(~goes_on(most - 1), most - 1).when(~goes_on(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(raw, F.lit(1), at).cast("string"))
 
 
 def byte_levenshtein(a: str, b: str) -> int:

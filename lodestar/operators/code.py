@@ -178,7 +178,7 @@ class _Text:
             above = self.lines[first - 2]
             body = above.lstrip()
             indent = len(above) - len(body)
-            if not body or indent > column + body.startswith("*") or not re.match(r"//|/\*|\*|#(?!\s*(?:include|import|define|if|endif|else|pragma))|--|@\w|\[", body):
+            if not body or indent > column + body.startswith("*") or not re.match(r"//|/\*|\*|#(?!\s*(?:include|import|define|if|endif|else|pragma))|--|@(?!(?:interface|implementation|protocol|end|property|synthesize|class|optional|required)\b)\w|\[", body):
                 break
             if body.startswith("[") and not re.search(r"\]\s*$", body):
                 break

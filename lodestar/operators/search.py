@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestar.functions.regex import glob_filter, matches
-from lodestar.functions.text import line_array, shown
+from lodestar.functions.text import clip_utf8, line_array, shown
 from lodestar.operators.outline import innermost
 from lodestar.sources.languages import searchable
 
@@ -80,7 +80,7 @@ def match_records(found: DataFrame, symbols: DataFrame) -> DataFrame:
     s = symbols.select("path", F.col("idx").alias("owner_idx"), F.col("qualified").alias("symbol"), F.array("start", "end").alias("symbol_lines"))
     text = shown(F.col("text"))
     rows = own.join(s, ["path", "owner_idx"], "left")
-    return rows.select("path", "line", F.left(text, F.lit(TEXT_CLIP)).alias("text"), F.when(F.octet_length(text) > TEXT_CLIP, True).alias("clipped"), "symbol", "symbol_lines")
+    return rows.select("path", "line", clip_utf8(text, TEXT_CLIP).alias("text"), F.when(F.octet_length(text) > TEXT_CLIP, True).alias("clipped"), "symbol", "symbol_lines")
 
 
 def symbol_records(found: DataFrame, symbols: DataFrame) -> DataFrame:

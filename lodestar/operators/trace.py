@@ -1,7 +1,7 @@
 """Callers, callees, references and implementations over symbols and occurrences.
 
 Results are flat rows with a level and the key of what they hang on, never nested.  A level is two or three
-joins; the visited set is a table, and the next frontier is what is not in it.
+joins, written once; the visited set is a table, and the next frontier is what is not in it.  Nothing comes to the driver.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestar.functions.text import shared_components
 from lodestar.operators import lookup
 from lodestar.operators.outline import innermost
 from lodestar.operators.symbols import CALLABLE
+from lodestar.session import materialize
 
-# Nodes opened a level, levels, and sites in all.
-EXPANDED, MAX_DEPTH, MAX_SITES = 24, 3, 20_000
+# Nodes opened a level, and levels.
+EXPANDED, MAX_DEPTH = 24, 3
 # Words for the object itself, and languages in which a method is called without one, or never.
 SELF = ("self", "this", "Self", "cls", "static", "$this")
 IMPLICIT = ("java", "csharp", "cpp", "kotlin", "scala", "swift", "ruby", "c", "objc")
@@ -132,9 +134,10 @@ class Tracer:
         rows = s.join(t, "name").withColumn("o_free_here", F.array_contains("o_free", F.col("s_path"))).withColumn("attr", attribution())
         return rows.where("attr <> 'other'").select("t_path", "t_idx", "name", "s_path", "owner_idx", "line", "col", "kind", "qualifier", "attr")
 
-    def groups(self, sites: DataFrame, target_dir: str = "") -> DataFrame:
-        """Sites by enclosing symbol: (t_path, t_idx, s_path, owner_idx, lines, n_calls, n_refs, n_imports, uncertain, order)."""
-        shared = F.size(F.array_intersect(F.split("s_path", "/"), F.split(F.lit(target_dir), "/")))
+    def groups(self, sites: DataFrame) -> DataFrame:
+        """Sites by enclosing symbol: (t_path, t_idx, s_path, owner_idx, lines, n_calls, n_refs, n_imports, uncertain, nth):
+        ``nth`` sorts tests last, then those that share most leading folders with the target first."""
+        shared = shared_components(F.col("s_path"), F.col("t_path"))
         own = F.when(F.col("kind") == "import", None).otherwise(F.col("owner_idx"))
         g = sites.withColumn("owner_idx", own).groupBy("t_path", "t_idx", "s_path", "owner_idx").agg(
             F.sort_array(F.collect_set("line")).alias("lines"),
@@ -142,34 +145,30 @@ class Tracer:
             F.bool_and(F.col("attr") == "unknown").alias("uncertain"),
             F.min("line").alias("first"),
         )
-        return g.withColumn("in_test", lookup.is_test_path(F.col("s_path"))).withColumn("shared", shared).orderBy("in_test", F.desc("shared"), "s_path", "uncertain", "first")
+        return g.withColumn("nth", F.struct(lookup.is_test_path(F.col("s_path")).alias("in_test"), (-shared).alias("apart"), "s_path", "uncertain", "first")).drop("first")
 
-    def _bfs(self, start: DataFrame, step, depth: int) -> DataFrame:
-        """Rows (level, from_path, from_idx, to_path, to_idx, n) by levels; a node is opened once, ``EXPANDED`` a level."""
-        spark = self.symbols.sparkSession
-        seen = start.select(F.col("path").alias("to_path"), F.col("idx").alias("to_idx"))
-        frontier, levels = start.select("path", "idx"), []
+    def _bfs(self, start: DataFrame, step, depth: int, expanded: int = EXPANDED) -> DataFrame:
+        """Rows (level, from_path, from_idx, to_path, to_idx, n, lines, uncertain, nth) by levels; a node is opened once, and
+        ``expanded`` nodes a level, those that come first by ``nth``."""
+        seen = materialize(start.select("path", "idx").distinct(), "seen")
+        frontier, levels = seen, None
         for level in range(1, max(1, min(depth, MAX_DEPTH)) + 1):
-            found = step(frontier, level).withColumn("level", F.lit(level))
-            rows = found.collect()  # at most a frontier's rows; the tree is an answer, not a table
-            levels += [r.asDict() for r in rows]
-            known = {(r.to_path, r.to_idx) for r in seen.collect()}
-            order = dict.fromkeys((r.to_path, r.to_idx) for r in rows if r.to_idx is not None and (r.to_path, r.to_idx) not in known)
-            if not order:
+            found = materialize(step(frontier, level).withColumn("level", F.lit(level)), "level")
+            levels = found if levels is None else levels.unionByName(found)
+            new = found.where("to_idx is not null").groupBy(F.col("to_path").alias("path"), F.col("to_idx").alias("idx")).agg(F.min("nth").alias("nth"))
+            new = new.join(seen, ["path", "idx"], "left_anti").orderBy("nth", "path", "idx").limit(expanded)
+            frontier = materialize(new.select("path", "idx"), "frontier")
+            if not frontier.limit(1).count():
                 break
-            nxt = list(order)[:EXPANDED]
-            frontier = spark.createDataFrame(nxt, "path string, idx int")
-            seen = seen.unionByName(spark.createDataFrame(nxt, "to_path string, to_idx int"))
-        schema = "level int, from_path string, from_idx int, to_path string, to_idx int, n long, lines array<int>, uncertain boolean"
-        cols = [c.split()[0] for c in schema.split(", ")]
-        return spark.createDataFrame([tuple(r[c] for c in cols) for r in levels], schema)
+            seen = seen.unionByName(frontier)
+        return levels
 
     def callers(self, start: DataFrame, depth: int = 1, kinds: tuple[str, ...] = ("call",)) -> DataFrame:
         def step(frontier: DataFrame, level: int) -> DataFrame:
             g = self.groups(self.sites_of(frontier, kinds))
-            rows = g.select(F.col("t_path").alias("from_path"), F.col("t_idx").alias("from_idx"), F.col("s_path").alias("to_path"), F.col("owner_idx").alias("to_idx"), (F.col("n_calls") + F.col("n_refs") + F.col("n_imports")).alias("n"), "lines", "uncertain")
+            rows = g.select(F.col("t_path").alias("from_path"), F.col("t_idx").alias("from_idx"), F.col("s_path").alias("to_path"), F.col("owner_idx").alias("to_idx"), (F.col("n_calls") + F.col("n_refs") + F.col("n_imports")).alias("n"), "lines", "uncertain", "nth")
             # a call of itself counts at the top level only
-            return rows if level == 1 else rows.where(~((F.col("from_path") == F.col("to_path")) & F.col("from_idx").eqNullSafe(F.col("to_idx")))).limit(MAX_SITES)
+            return rows if level == 1 else rows.where(~((F.col("from_path") == F.col("to_path")) & F.col("from_idx").eqNullSafe(F.col("to_idx"))))
 
         return self._bfs(start, step, depth)
 
@@ -205,7 +204,8 @@ class Tracer:
             rows = self.resolved(calls)
             # a call is descended into if it means exactly one definition
             one = rows.withColumn("of", F.count(F.lit(1)).over(W.partitionBy("path", "idx", "name", "qualifier")))
-            return one.orderBy("path", "idx", "first").select(F.col("path").alias("from_path"), F.col("idx").alias("from_idx"), "to_path", "to_idx", "n", "lines", (F.col("of") > 1).alias("uncertain"))
+            nth = F.struct("path", "idx", "first", "to_path", "to_idx").alias("nth")
+            return one.select(F.col("path").alias("from_path"), F.col("idx").alias("from_idx"), "to_path", "to_idx", "n", "lines", (F.col("of") > 1).alias("uncertain"), nth)
 
         return self._bfs(start, step, depth)
 
@@ -246,7 +246,7 @@ class Tracer:
             built = self.structural().join(bases, (F.col("base_path") == F.col("from_path")) & (F.col("base_idx") == F.col("from_idx"))).select("from_path", "from_idx", F.col("path").alias("to_path"), F.col("idx").alias("to_idx"))
             rows = named.unionByName(built).distinct()
             line = self.defs.select(F.col("path").alias("to_path"), F.col("idx").alias("to_idx"), F.array("def").alias("lines"))
-            return rows.join(line, ["to_path", "to_idx"]).select("from_path", "from_idx", "to_path", "to_idx", F.lit(1).cast("long").alias("n"), "lines", F.lit(False).alias("uncertain")).orderBy("to_path", "to_idx")
+            return rows.join(line, ["to_path", "to_idx"]).select("from_path", "from_idx", "to_path", "to_idx", F.lit(1).cast("long").alias("n"), "lines", F.lit(False).alias("uncertain"), F.struct("to_path", "to_idx").alias("nth"))
 
         return self._bfs(start, step, depth)
 
@@ -268,7 +268,7 @@ class Tracer:
         else:
             rows = self.callers(start, 1 if direction == "refs" else depth, ("call", "ref", "import") if direction == "refs" else ("call",))
         name = self.defs.select(F.col("path").alias("to_path"), F.col("idx").alias("to_idx"), F.col("qualified").alias("to_name"))
-        return rows.join(name, ["to_path", "to_idx"], "left").orderBy("level", "from_path", "from_idx", "to_path", "to_idx")
+        return rows.join(name, ["to_path", "to_idx"], "left").orderBy("level", "nth", "from_path", "from_idx", "to_path", "to_idx").drop("nth")
 
 
 def counts(groups: DataFrame) -> DataFrame:

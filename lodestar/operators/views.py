@@ -54,13 +54,34 @@ def parse_target(text: str, exists=lambda path: False) -> Target:
     return Target(text, since=since)
 
 
+#: How a line that brings in another module begins, by language.
+IMPORTS = {
+    ("python",): r"import\s|from\s+[\w.]+\s+import\b",
+    ("rust",): r"(?:pub(?:\([^)]*\))?\s+)?use\s|extern\s+crate\s",
+    ("javascript", "typescript", "tsx"): r"import\b|export\b.*\bfrom\s|(?:const|let|var)\b.*=\s*require\(",
+    ("go", "java", "kotlin", "scala", "swift"): r"import\b|@testable\s+import\b",
+    ("c", "cpp", "objc"): r"#\s*(?:include|import)\b|@import\b|using\s",
+    ("csharp",): r"(?:global\s+)?using\s",
+    ("ruby",): r"(?:require|require_relative|load|autoload)\b",
+    ("php",): r"use\s|(?:require|include)(?:_once)?\b",
+    ("lua", "luau"): r"local\b.*(?:\brequire\b|:GetService\()|require\b",
+    ("bash",): r"(?:source|\.)\s",
+}
+COMMENTS = {("lua", "luau"): r"--", HASH_COMMENTS: r"#(?!!)", None: r"//|/\*|\*"}
+
+
 def line_kind(text: Column, lang: Column) -> Column:
-    """blank, comment, import or other."""
+    """blank, comment, import or other, by the language's own syntax."""
     t = F.ltrim(text)
-    lua = lang.isin("lua", "luau")
-    comment = F.rlike(t, F.lit(r"^(?://|/\*|\*)")) | lua & F.startswith(t, F.lit("--")) | lang.isin(*HASH_COMMENTS) & F.rlike(t, F.lit(r"^#(?!!)"))
-    imported = F.rlike(t, F.lit(r"^(?:(?:pub )?use |import |from |#include|#import|@import|require |require_relative |using |const .*require\()")) | lua & F.rlike(t, F.lit(r"^local .*(?:require\(|:GetService\()"))
-    return F.when(F.trim(t) == "", "blank").when(F.coalesce(comment, F.lit(False)), "comment").when(F.coalesce(imported, F.lit(False)), "import").otherwise("other")
+
+    def begins(table: dict) -> Column:
+        hit = F.lit(False)
+        for langs, pattern in table.items():
+            one = F.rlike(t, F.lit(f"^(?:{pattern})"))
+            hit = hit | (one if langs is None else lang.isin(*langs) & one)
+        return F.coalesce(hit, F.lit(False))
+
+    return F.when(F.trim(t) == "", "blank").when(begins(COMMENTS), "comment").when(begins(IMPORTS), "import").otherwise("other")
 
 
 def runs(lines: DataFrame) -> DataFrame:

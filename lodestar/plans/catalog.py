@@ -138,7 +138,7 @@ def search_symbols(spark, sf_dir):
 
 @query(f"""with s as {_CONV_SYMBOLS}, h as (select path, line, text from {_CONV_LINES} where {_THE}),
   o as (select h.path, h.line, h.text, (select arg_max(s.idx, s.depth * 100000 - s.idx) from s where s.path = h.path and h.line between s.s and s.e) as idx from h)
-  select o.path, o.line::integer as line, left(o.text, 1000) as text, case when octet_length(encode(o.text)) > 1000 then true end as clipped,
+  select o.path, o.line::integer as line, case when octet_length(encode(o.text)) <= 1000 then o.text else left(o.text, list_max(list_filter(range(0, 1001), lambda i: octet_length(encode(left(o.text, i))) <= 1000))) end as text, case when octet_length(encode(o.text)) > 1000 then true end as clipped,
     case when s.idx = 0 then s.name else s.path || '.' || s.name end as symbol, s.s::varchar || ':' || s.e::varchar as symbol_lines from o left join s using (path, idx)""")
 def search_records(spark, sf_dir):
     c = conversations(spark, sf_dir)
@@ -165,19 +165,36 @@ def symbol_lookup(spark, sf_dir):
     return found.select("path", "idx", "name", F.row_number().over(W.orderBy("rank", "bodiless", "in_test", "path", "start")).cast("long").alias("nth"))
 
 
-@query("""select n_name as name, case when contains(lower(n_name), 'naton_3') then 0 else levenshtein(lower(n_name), 'naton_3') end::integer as distance
-  from (select distinct n_name from nation) where contains(lower(n_name), 'naton_3') or levenshtein(lower(n_name), 'naton_3') <= 2 order by 2, 1 limit 5""")
+_NATIONS = "(select n_name as name, 'r' || n_regionkey::varchar || '.' || n_name as qualified, case when n_nationkey % 5 = 4 then 'heading' else 'class' end as kind from nation)"
+
+
+@query(f"""select qualified as name, (case when contains(lower(name), 'naton_3') or contains('naton_3', lower(name)) then 0 else levenshtein(lower(name), 'naton_3') end)::integer as distance
+  from {_NATIONS} where kind <> 'heading' and (contains(lower(name), 'naton_3') or contains('naton_3', lower(name)) or levenshtein(lower(name), 'naton_3') <= 2) order by 2, 1 limit 5""")
 def suggest_symbols(spark, sf_dir):
-    return lookup.suggest_symbols(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "NATON_3")
+    kind = F.when(F.col("n_nationkey") % 5 == 4, "heading").otherwise("class")
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("."), "n_name").alias("qualified"), kind.alias("kind"))
+    return lookup.suggest_symbols(n, "x.NATON_3")
 
 
-@query(f"""with p as (select path, string_split(path, '/') as parts, lower(regexp_extract(path, '[^/]*$')) as name from {_DOCS}),
-  s as (select *, regexp_replace(name, '\\.[^.]*$', '') as stem, levenshtein(name, '17.txt') as d from p),
-  g as (select path, case when name = '17.txt' then 1000 when stem = '17' then 600 when abs(length(name) - 6) <= 8 and d <= 2 then 400 - 50 * d when contains(name, '17') then 200 end
-    + 20 * (list_contains(parts, 'en')::int + list_contains(parts, 'src3')::int) - 2 as score from s)
+@query(f"""with p as (select path, string_split(lower(path), '/') as parts, lower(regexp_extract(path, '[^/]*$')) as name from {_DOCS}),
+  s as (select *, string_split(name, '.')[1] as stem, levenshtein(name, '1217.txt') as d from p),
+  g as (select path, case when name = '1217.txt' then 1000 when stem = '1217' then 600 when abs(length(name) - 8) <= 8 and d <= 2 then 400 - 50 * d when contains(name, '1217') then 200 end
+    + 20 * (list_contains(parts, 'en')::int + list_contains(parts, 'src3')::int + list_contains(parts, '1217.txt')::int) - len(parts) as score from s)
   select path, score::integer as score from g where score is not null order by score desc, path limit 5""")
 def path_suggest(spark, sf_dir):
-    return lookup.suggest_paths(documents(spark, sf_dir).sources, "en/src3/17.txt").withColumn("score", F.col("score").cast("int"))
+    return lookup.suggest_paths(documents(spark, sf_dir).sources, "./En/src3/1217.txt").withColumn("score", F.col("score").cast("int"))
+
+
+_TESTS = ("src/latest.py", "src/contest.go", "fixtures/a.py", "testing/a.py", "AppTests/a.swift", "a/Test_x.c", "x_test.go", "y.spec.ts", "z_spec.rb", "FooTest.java", "FooTest.py", "specs/q", "tests", "unit-tests/r", "b.test", "test/s")
+
+
+@query(f"""with p as (select doc_id, {list(_TESTS)}[1 + doc_id % {len(_TESTS)}] as path from documents), s as (select *, lower(path) as low, string_split(lower(path), '/') as segs from p),
+  n as (select *, segs[len(segs)] as name from s)
+  select doc_id, path, len(list_filter(segs, lambda x: x in ('test', 'tests', '__tests__', 'spec', 'specs', 'testing', 'testdata') or ends_with(x, 'tests'))) > 0 or contains(name, '_test.') or starts_with(name, 'test_') or contains(name, '.test.')
+    or contains(name, '.spec.') or contains(name, '_spec.') or ends_with(name, 'tests.swift') or ends_with(name, 'test.java') or ends_with(name, 'test.kt') as is_test from n""")
+def test_paths(spark, sf_dir):
+    path = F.get(F.array(*[F.lit(t) for t in _TESTS]), (F.col("doc_id") % len(_TESTS)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).withColumn("is_test", lookup.is_test_path(F.col("path")))
 
 
 _DIRS = f"""(select dir, case when dir = '' then 0 else len(string_split(dir, '/')) end as depth, count(*) as files, sum(size) as bytes from (

@@ -232,3 +232,18 @@ def test_extract(spark):
 )
 def test_block(text, line, want):
     assert block.enclosing(text.split("\n"), line) == want
+
+
+@pytest.mark.parametrize(
+    "lang,text,want",
+    [
+        ("markdown", "# A ## b ##\n\n#x\n##\ntitle\n---\n> q\n---\n```py\n# no\n", [("A ## b", 1, 10), ("", 4, 4), ("title", 5, 10)]),
+        ("markdown", "---\nkey: 1\n# never closed\n", []),
+        ("markdown", "a\r\n===\r\n## b\r\n", [("a", 1, 3), ("b", 3, 3)]),
+        ("yaml", "a:\n  - b: |\n      c: 1\n    d: 2\n'it''s': \"x: y\"\nhttp://x: 1\n-x: 2\nk # no: 1\n", [("a", 1, 4), ("b", 2, 3), ("d", 4, 4), ("it''s", 5, 5), ("http://x", 6, 6), ("-x", 7, 8)]),
+        ("yaml", "top:\n  mid:\n    low: 1\n    low2: 2\n  mid2: >-\n    t: u\n\n    v\n# c: d\nend:\n", [("top", 1, 9), ("mid", 2, 4), ("mid2", 5, 9), ("end", 10, 10)]),
+        ("toml", "[a.'b.c']\nx = '''\n[no]\n'''\n[[ p . q ]]\n[\"\"]\n# [c]\ny = [\n  [1]]\n", [("b.c", 1, 4), ("q", 5, 5), ("", 6, 9)]),
+    ],
+)
+def test_structured(lang, text, want):
+    assert [(s.name, s.start, s.end) for s in outline(text, lang)] == want

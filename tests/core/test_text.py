@@ -172,3 +172,29 @@ def test_prefix(spark):
     assert [r.kept for r in budget.prefix(df, "size", 100, ["path"]).orderBy("path").collect()] == [True, False, False]
     assert [r.kept for r in budget.prefix(df.where("size < 9"), "size", 2, ["path"]).orderBy("path").collect()] == [True, True]
     assert budget.omitted(budget.prefix(df, "size", 100, ["path"])).count() == 2
+
+
+def test_clipped_on_a_character(spark):
+    df = spark.createDataFrame([("ä" * 600,), ("a" + "ä" * 600,), ("€" * 400,), ("a" + "€" * 400,), ("ab" + "€" * 400,), ("😀" * 300,), ("aaa" + "😀" * 300,), ("x" * 1000,), ("x" * 1001,), (None,)], "t string")
+    from pyspark.sql import functions as F
+
+    got = [r.c for r in df.select(text.clip_utf8(F.col("t"), 1000).alias("c")).collect()]
+    assert got == [None if r.t is None else r.t.encode()[:1000].decode("utf-8", "ignore") for r in df.collect()]
+
+
+def test_quoting(spark):
+    from pyspark.sql import functions as F
+
+    from lodestar.functions import regex
+
+    for t in ("a.b", r"x\Ey", "", r"\Q\E\E", "[(*", "\\"):
+        assert spark.range(1).select(F.rlike(F.lit(f"<{t}>"), F.lit("^<" + regex.escape(t) + ">$"))).first()[0]
+        assert not spark.range(1).select(F.rlike(F.lit(f"<{t}!>"), F.lit("^<" + regex.escape(t) + ">$"))).first()[0]
+
+
+def test_shared_components(spark):
+    from pyspark.sql import functions as F
+
+    pairs = [("a/b/c", "a/b/d"), ("a", "a"), ("a/x/b", "b/x/a"), ("a/b", "a/b/c"), ("", "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(text.shared_components(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in got] == [text.proximity(a, b) for a, b in pairs]
