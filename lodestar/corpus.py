@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from lodestar.functions.text import etag, line_count
 from lodestar.functions.tokens import estimate
 from lodestar.operators import changes, lookup, occurrences, outline, rollup, search, trace, views
 from lodestar.session import ship_code
+from lodestar.sources import bigfile
 from lodestar.sources.decode import MEMORY_LIMIT, decoded
 from lodestar.sources.files import read_files
 from lodestar.sources.languages import detect
@@ -23,20 +27,40 @@ class Corpus:
     ``occurrences`` follow from it.  ``materialize`` writes them once, so that queries start from tables.
     """
 
-    def __init__(self, files: DataFrame, sources: DataFrame, symbols: DataFrame | None = None, occurrences: DataFrame | None = None):
+    def __init__(self, files: DataFrame, sources: DataFrame, symbols: DataFrame | None = None, occurrences: DataFrame | None = None, large: DataFrame | None = None):
         ship_code(sources.sparkSession)
+        self.large = large
         self.files, self.sources = files, sources
         self._symbols, self._occurrences = symbols, occurrences
 
     @classmethod
     def from_path(cls, spark: SparkSession, *roots: str, globs: list[str] | None = None) -> Corpus:
         """A corpus of the files below some directories; a path that two roots share is taken from the first."""
-        files = read_files(spark, *roots, globs=globs)
-        if len(roots) > 1:
-            order = F.element_at(F.create_map(*[x for i, r in enumerate(roots) for x in (F.lit(r), F.lit(i))]), F.col("root"))
-            files = files.withColumn("_at", order).groupBy("path").agg(F.min_by(F.struct(*[c for c in files.columns if c != "path"]), "_at").alias("f")).select("path", "f.*")
-        texts = decoded(files.where(~F.col("is_symlink") & (F.col("size") <= MEMORY_LIMIT)))
-        return cls(files.drop("raw"), cls._described(texts))
+        roots = tuple(dict.fromkeys(roots))
+        names, read = (cls._first(read_files(spark, *roots, globs=globs, content=c, max_bytes=MEMORY_LIMIT), roots) for c in (False, True))
+        texts = decoded(read.where(~F.col("is_symlink") & (F.col("size") <= MEMORY_LIMIT)))
+        sources, large = cls._described(texts), None
+        files = names.drop("raw")
+        # the names of files too large for a row; their lines are read in blocks
+        big = files.where(~F.col("is_symlink") & (F.col("size") > MEMORY_LIMIT)).select("root", "path", "size").collect()
+        if big:
+            urls = {Path(r.root, r.path).as_uri(): r for r in big}
+            no, none = F.lit(False), F.lit(None)
+            named = spark.createDataFrame([(u.replace("file:///", "file:/"), r.path, r["size"]) for u, r in urls.items()], "file string, path string, bytes long")
+            rows = named.select("path", none.cast("string").alias("content"), "bytes", none.cast("int").alias("n_lines"), detect(F.col("path"), F.lit("")).alias("lang"), *[no.alias(c) for c in ("binary", "bom", "utf16", "crlf", "lossy")])
+            sources = sources.unionByName(rows)
+            plain = ["file:" + re.sub(r"([\[\]{}*?\\])", r"\\\1", str(Path(r.root, r.path))) for r in big]  # no globs
+            lines = bigfile.numbered(spark, plain).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+            large = lines.join(F.broadcast(named), "file").select("path", F.col("line").cast("int").alias("line"), "text")
+        return cls(files, sources, large=large)
+
+    @staticmethod
+    def _first(files: DataFrame, roots: tuple[str, ...]) -> DataFrame:
+        """Each path once, from the first root that has it."""
+        if len(roots) == 1:
+            return files
+        order = F.element_at(F.create_map(*[x for i, r in enumerate(roots) for x in (F.lit(r), F.lit(i))]), F.col("root"))
+        return files.withColumn("_at", order).groupBy("path").agg(F.min_by(F.struct(*[c for c in files.columns if c != "path"]), "_at").alias("f")).select("path", "f.*")
 
     @classmethod
     def from_table(cls, df: DataFrame, path: str, text: str) -> Corpus:
@@ -77,7 +101,8 @@ class Corpus:
         return self._occurrences
 
     def lines(self) -> DataFrame:
-        return search.explode_lines(self.sources.where(F.col("content").isNotNull()))
+        own = search.explode_lines(self.sources.where(F.col("content").isNotNull()))
+        return own if self.large is None else own.unionByName(self.large)
 
     def etags(self) -> DataFrame:
         """(path, etag)."""
@@ -92,7 +117,10 @@ class Corpus:
         spark = self.sources.sparkSession
         for name, df in (("files", self.files), ("sources", self.sources), ("symbols", self.symbols), ("occurrences", self.occurrences)):
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return Corpus(*[spark.read.parquet(f"{path}/{n}") for n in ("files", "sources", "symbols", "occurrences")])
+        if self.large is not None:
+            self.large.write.mode("overwrite").parquet(f"{path}/large")
+        large = None if self.large is None else spark.read.parquet(f"{path}/large")
+        return Corpus(*[spark.read.parquet(f"{path}/{n}") for n in ("files", "sources", "symbols", "occurrences")], large=large)
 
     def refresh(self, path: str, now: Corpus) -> Corpus:
         """The tables written at ``path`` brought up to ``now``: unchanged texts keep their rows, others are read anew."""
@@ -101,11 +129,11 @@ class Corpus:
         same = now.sources.select("path", "content").join(old, ["path", "content"], "left_semi").select("path")
         fresh = Corpus(now.files, now.sources.join(same, "path", "left_anti"))
         keep = lambda n: spark.read.parquet(f"{path}/{n}").join(same, "path", "left_semi")
-        return Corpus(now.files, now.sources, keep("symbols").unionByName(fresh.symbols), keep("occurrences").unionByName(fresh.occurrences))
+        return Corpus(now.files, now.sources, keep("symbols").unionByName(fresh.symbols), keep("occurrences").unionByName(fresh.occurrences), now.large)
 
     def search(self, pattern: str, output: str = "matches", context: int = 0, **options) -> DataFrame:
         """Matching lines (``matches``), hits by enclosing symbol (``symbols``) or counts by file (``files``)."""
-        found = search.hits(self.sources, pattern, **options)
+        found = search.hits(self.sources, pattern, large=self.large, **options)
         if output == "files":
             return search.files(found)
         if output == "symbols":

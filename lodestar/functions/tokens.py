@@ -47,8 +47,8 @@ def features(text: Column) -> dict[str, Column]:
         "digits": F.char_length(text) - F.char_length(F.translate(text, "0123456789", "")),
         "punct": F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]|[A-Za-z0-9 \t\r\n]", "")),
         "ws_runs": count(r"[ \t\r]+"),
-        "newlines": count(r"\n"),
-        "non_ascii": count(r"[^\x00-\x7F]"),
+        "newlines": F.char_length(text) - F.char_length(F.translate(text, "\n", "")),
+        "non_ascii": F.when(F.octet_length(text) == F.char_length(text), 0).otherwise(count(r"[^\x00-\x7F]")),
         "words": count(r"[A-Za-z]+"),
         "digit_runs": count(r"[0-9]+"),
         "case_breaks": count(r"[a-z][A-Z]"),

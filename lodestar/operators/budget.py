@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestar.operators.running import running
+
 LEAST_SHARE = 80
 
 
 def prefix(blocks: DataFrame, size: str, most: int, order: list[str], within: list[str] | None = None) -> DataFrame:
     """``blocks`` with ``kept``: the longest prefix in order whose sizes add up to ``most``; the first is always kept."""
-    w = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
-    run = F.sum(size).over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    rows = blocks.withColumn("used", run).withColumn("_rn", F.row_number().over(w.orderBy(*order)))
+    if within:
+        w = W.partitionBy(*within).orderBy(*order)
+        rows = blocks.withColumn("used", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_rn", F.row_number().over(w))
+    else:
+        rows = running(blocks, order, size, number="_rn").withColumnRenamed(f"upto_{size}", "used")
     # sizes may be 0 or more, so the sums rise and the first overflow ends the prefix
     return rows.withColumn("kept", (F.col("used") <= most) | (F.col("_rn") == 1)).drop("_rn")
 

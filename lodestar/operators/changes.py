@@ -71,7 +71,7 @@ def labelled_hunks(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def diff_counts(hunks: DataFrame) -> DataFrame:
-    """(path, hunks, added, removed, whole): whole says that the text is shown whole rather than as a diff."""
+    """(path, hunks, added, removed, size); ``shown_whole`` says from the size which texts are shown whole."""
     return hunks.groupBy("path").agg(F.count(F.lit(1)).alias("hunks"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.sum(F.char_length("body") + 24).alias("size"))
 
 

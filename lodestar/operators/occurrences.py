@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.lexer import STYLES, mask
 from lodestar.session import ship_code
-from lodestar.sources.decode import PARSE_LIMIT
+from lodestar.operators.outline import parsed
 
 OCCURRENCES = "path string, lang string, line int, col int, name string, kind string, qualifier string"
 # Words that are no names.
@@ -74,7 +74,7 @@ def extract(sources: DataFrame, names: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, g, *o) for p, g, c in zip(b["path"], b["lang"], b["content"]) if len(c) <= PARSE_LIMIT for o in occurrences(c, g) if wanted is None or o[2] in wanted]
+            rows = [(p, g, *o) for p, g, c in zip(b["path"], b["lang"], b["content"]) if parsed(c) for o in occurrences(c, g) if wanted is None or o[2] in wanted]
             yield pd.DataFrame(rows, columns=["path", "lang", "line", "col", "name", "kind", "qualifier"])
 
     return s.select("path", "lang", "content").mapInPandas(run, OCCURRENCES)

@@ -26,6 +26,16 @@ def outline(text: str, lang: str | None) -> list[Symbol]:
         return []
 
 
+def parsed(content: str) -> bool:
+    """Whether a text is short enough, in bytes, to be read for symbols."""
+    return 4 * len(content) <= PARSE_LIMIT or len(content) <= PARSE_LIMIT and len(content.encode("utf-8", "replace")) <= PARSE_LIMIT
+
+
+def passed_over(sources: DataFrame) -> DataFrame:
+    """(path, bytes): the texts in a known language that are too long to be read for symbols."""
+    return sources.where(F.col("lang").isNotNull() & (F.octet_length("content") > PARSE_LIMIT)).select("path", F.octet_length("content").cast("long").alias("bytes"))
+
+
 def extract(sources: DataFrame) -> DataFrame:
     """(path, lang, symbol fields) from sources (path, lang, content), text by text."""
     ship_code(sources.sparkSession)
@@ -34,7 +44,7 @@ def extract(sources: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for path, lang, content in zip(b["path"], b["lang"], b["content"]):
-                if content and lang and len(content) <= PARSE_LIMIT:
+                if content and lang and parsed(content):
                     for r in rows(outline(content, lang)):
                         collapse = None if r[8] is None else {"start": r[8][0], "end": r[8][1]}
                         out.append((path, lang, *r[:8], collapse, *r[9:]))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from lodestar.functions.regex import glob_filter, matches
 from lodestar.functions.text import clip_utf8, line_array, shown
 from lodestar.operators.outline import innermost
+from lodestar.operators.running import running
 from lodestar.sources.languages import searchable
 
 # Hits kept a file, context lines at most, hits in all, and bytes of a shown line.
@@ -20,31 +21,34 @@ def explode_lines(sources: DataFrame) -> DataFrame:
     return sources.select("path", F.posexplode(line_array(F.col("content"))).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
 
 
-def hits(sources: DataFrame, pattern: str, *, literal: bool = False, word: bool = False, case: str = "smart", globs: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
-    """(path, line, text) of the matching lines.
+def hits(sources: DataFrame, pattern: str, *, literal: bool = False, word: bool = False, case: str = "smart", globs: list[str] | None = None, paths: list[str] | None = None, large: DataFrame | None = None) -> DataFrame:
+    """(path, line, text) of the matching lines; ``large`` holds the lines of texts that are no rows of ``sources``.
 
     A text without any match is dropped before its lines are made: a match of a line is a match of its text for
     patterns without anchors, and the line filter decides in any case.
     """
-    s = sources.where(F.col("content").isNotNull() & searchable(F.col("path")))
+    wanted = searchable(F.col("path"))
     if globs:
-        s = s.where(glob_filter(F.col("path"), globs))
+        wanted = wanted & glob_filter(F.col("path"), globs)
     if paths:
         under = F.lit(False)
         for p in paths:
             under = under | (F.col("path") == p) | F.startswith(F.col("path"), F.lit(p.rstrip("/") + "/"))
-        s = s.where(under)
+        wanted = wanted & under
+    s = sources.where(F.col("content").isNotNull() & wanted)
     if literal and not word:
         s = s.where(matches(F.col("content"), pattern, True, False, case))
-    return explode_lines(s).where(matches(F.col("text"), pattern, literal, word, case))
+    lines = explode_lines(s)
+    if large is not None:
+        lines = lines.unionByName(large.where(wanted))
+    return lines.where(matches(F.col("text"), pattern, literal, word, case))
 
 
 def limited(found: DataFrame, max_matches: int = MAX_MATCHES, file_hits: int = FILE_HITS) -> DataFrame:
     """Hits with ``kept``: within each file's first ``file_hits``, and in files before which fewer than ``max_matches``
     matches stand in path order (the file that crosses the limit is kept whole)."""
     by_file = found.groupBy("path").agg(F.count(F.lit(1)).alias("matches"))
-    # one row a file with a hit; the running count needs their order
-    before = by_file.withColumn("before", F.coalesce(F.sum("matches").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = running(by_file, ["path"], "matches").select("path", "matches", (F.col("upto_matches") - F.col("matches")).alias("before"))
     n = F.row_number().over(W.partitionBy("path").orderBy("line"))
     return found.withColumn("n", n).join(before, "path").withColumn("kept", (F.col("n") <= file_hits) & (F.col("before") < max_matches)).drop("n")
 

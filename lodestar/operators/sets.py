@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.session import materialize
+
 
 def divide(have: DataFrame, need: DataFrame, keys: list[str], on: str) -> DataFrame:
     """The keys of ``have`` (keys, on) that go with every value of ``need`` (on).
@@ -20,12 +22,13 @@ def divide(have: DataFrame, need: DataFrame, keys: list[str], on: str) -> DataFr
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, level): nodes within ``depth`` steps over edges (a, b), each at its least level.
 
-    Every round joins the frontier with the edges and drops what was visited; the visited set is never
-    collected, and its lineage is cut each round.
+    Every round joins the frontier with the edges and drops what was visited.  The edges and each round's nodes are
+    written once, which cuts the lineage; nothing is collected.
     """
-    seen = start.select("node").distinct().withColumn("level", F.lit(0))
+    edges = materialize(edges.select("a", "b").distinct(), "edges")
+    frontier = seen = materialize(start.select("node").distinct().withColumn("level", F.lit(0)), "level")
     for level in range(1, depth + 1):
-        frontier = seen.where(F.col("level") == level - 1).select(F.col("node").alias("a"))
-        new = edges.join(frontier, "a", "left_semi").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = seen.unionByName(new.withColumn("level", F.lit(level))).persist()
+        new = edges.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        frontier = materialize(new.join(seen, "node", "left_anti").withColumn("level", F.lit(level)), "level")
+        seen = seen.unionByName(frontier)
     return seen

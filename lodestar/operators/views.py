@@ -16,6 +16,8 @@ from lodestar.operators.budget import degrade, fair_shares
 
 # Clips of a shown line, least runs that fold, most lines around a symbol and in a window, names shown.
 LINE_AUTO, LINE_FULL, COMMENT_RUN, IMPORT_RUN, AROUND_SYMBOL, WINDOW, GLOB_FILES, FILE_SYMBOLS, WORKSPACE_SYMBOLS = 2000, 8000, 3, 4, 400, 40, 200, 8, 5
+#: Lines shown of the beginning and the end of a text too large for a row.
+HEAD_LINES, TAIL_LINES = 200, 100
 HASH_COMMENTS = ("python", "ruby", "bash", "yaml", "toml")
 
 
@@ -130,17 +132,19 @@ def compact(lines: DataFrame, symbols: DataFrame, sources: DataFrame) -> DataFra
 
 
 def outline_rows(symbols: DataFrame) -> DataFrame:
-    """(path, idx, depth, start, end, text, members): a listing row for each symbol with the number of its members."""
+    """(path, idx, parent, depth, start, end, text, members): a listing row for each symbol with the number of its members."""
     members = symbols.where("parent is not null").groupBy("path", F.col("parent").alias("idx")).agg(F.count(F.lit(1)).alias("members"))
-    return symbols.join(members, ["path", "idx"], "left").select("path", "idx", "depth", "start", "end", F.concat(F.repeat(F.lit("  "), F.col("depth")), "signature").alias("text"), F.coalesce("members", F.lit(0)).alias("members"))
+    return symbols.join(members, ["path", "idx"], "left").select("path", "idx", "parent", "depth", "start", "end", F.concat(F.repeat(F.lit("  "), F.col("depth")), "signature").alias("text"), F.coalesce("members", F.lit(0)).alias("members"))
 
 
 def fitted(outline: DataFrame, most: int) -> DataFrame:
-    """The outline's top level, and of the rest as much as fits, level by level; ``hidden`` counts members left out."""
+    """The outline's top level, and of the rest as much as fits, level by level; ``hidden`` counts a symbol's members that are
+    left out."""
     cost = F.octet_length("text") + 16
     run = F.sum(cost).over(W.partitionBy("path").orderBy("depth", "idx").rowsBetween(W.unboundedPreceding, 0))
-    rows = outline.withColumn("shown", (F.col("depth") == 0) | (run <= most))
-    return rows.where("shown").drop("shown")
+    rows = outline.withColumn("_shown", (F.col("depth") == 0) | (run <= most))
+    left = rows.where("not _shown and parent is not null").groupBy("path", F.col("parent").alias("idx")).agg(F.count(F.lit(1)).alias("hidden"))
+    return rows.where("_shown").drop("_shown").join(left, ["path", "idx"], "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
 
 
 def numbered_text(rows: list, line_numbers: bool = True, clip: int = LINE_AUTO) -> str:
@@ -224,6 +228,15 @@ def read(corpus, targets: list[str], mode: str = "auto", budget: int | None = No
     paths = corpus.sources.select("path")
     exists = lambda p: bool(p) and paths.where(F.col("path") == p).limit(1).count() > 0
     items: list[tuple[str, list[tuple[str, str]], int]] = []
+
+    def some(found: DataFrame) -> list[str]:
+        """The first ``GLOB_FILES`` paths; how many more there are is said in an item of its own."""
+        got = [r.path for r in found.orderBy("path").limit(GLOB_FILES).collect()]
+        more = found.count() - len(got) if len(got) == GLOB_FILES else 0
+        if more:
+            items.append((f"omitted: {more} more files", [("omitted", f"after {got[-1]}; ask for them by a narrower glob")], 3))
+        return got
+
     for text in targets:
         t = parse_target(text, exists)
         if t.path is None:
@@ -236,11 +249,11 @@ def read(corpus, targets: list[str], mode: str = "auto", budget: int | None = No
                 items.append(("more", [("list", "\n".join(f"{r.path}#{r.qualified}" for r in found[WORKSPACE_SYMBOLS:]))], 0))
             continue
         if is_glob(t.path):
-            names = [r.path for r in paths.where(glob_filter(F.col("path"), [t.path])).orderBy("path").limit(GLOB_FILES).collect()]
+            names = some(paths.where(glob_filter(F.col("path"), [t.path])))
         elif exists(t.path):
             names = [t.path]
         else:
-            names = [r.path for r in paths.where(F.startswith("path", F.lit(t.path.rstrip("/") + "/"))).orderBy("path").limit(GLOB_FILES).collect()]
+            names = some(paths.where(F.startswith("path", F.lit(t.path.rstrip("/") + "/"))))
         if not names:
             near = [r.path for r in lookup.suggest_paths(paths, t.path).collect()]
             same = [p for p in near if p.rsplit("/", 1)[-1] == t.path.rsplit("/", 1)[-1]]
@@ -272,6 +285,9 @@ def _items(corpus, names: list[str], t: Target, mode: str, numbers: bool, snapsh
         if source.binary:
             out.append((f"== {source.path}", [("binary", f"binary file, {source.bytes or 0} bytes")], tier))
             continue
+        if source.content is None:
+            out.append((f"== {source.path} {source.bytes} bytes", _large(corpus, source, t, numbers), tier))
+            continue
         if t.since == source.etag:
             out.append((f"== {source.path}@{source.etag}", [("unchanged", "unchanged")], 3))
             continue
@@ -283,6 +299,18 @@ def _items(corpus, names: list[str], t: Target, mode: str, numbers: bool, snapsh
     return out
 
 
+def _large(corpus, source, t: Target, numbers: bool) -> list[tuple[str, str]]:
+    """The lines asked for of a text too large for a row, else its first and last ones."""
+    lines = corpus.large.where(F.col("path") == source.path).withColumn("last", F.col("line"))
+    show = lambda df: numbered_text(df.orderBy("line").limit(HEAD_LINES + TAIL_LINES).collect(), numbers)
+    if t.lines or t.around:
+        a, b = t.lines or (max(1, t.around - WINDOW), t.around + WINDOW)
+        return [("lines", show(lines.where(F.col("line").between(a, b or 1 << 62))))]
+    n = lines.agg(F.max("line").alias("n")).first()["n"] or 0
+    tail = show(lines.where(F.col("line") > max(HEAD_LINES, n - TAIL_LINES)))
+    return [("head and tail", show(lines.where(F.col("line") <= HEAD_LINES)) + (f"\n⋯ {max(n - HEAD_LINES - TAIL_LINES, 0)} lines\n{tail}" if tail else ""))]
+
+
 def _since(corpus, source, since: str, snapshots) -> list[tuple[str, str]]:
     """What a text gained since a version that was shown, if that is known and shorter than the text."""
     from lodestar.operators import changes

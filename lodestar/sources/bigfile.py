@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
+def numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, text) of every line of a text file (or of each of several), counted from 1."""
     rows = spark.read.text(path, lineSep="\n").select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")

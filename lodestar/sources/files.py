@@ -155,13 +155,14 @@ class Files(DataSource):
         return FilesReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_files(spark: SparkSession, *roots: str, globs: list[str] | None = None, max_depth: int | None = None, content: bool = True) -> DataFrame:
-    """The files of several roots; a file under two of them is given once, by its first root."""
+def read_files(spark: SparkSession, *roots: str, globs: list[str] | None = None, max_depth: int | None = None, content: bool = True, max_bytes: int = 256 << 20) -> DataFrame:
+    """The files of several roots, one row for each root that a file is under; contents only where asked for, and of files of
+    at most ``max_bytes``."""
     ship_code(spark)
     spark.dataSource.register(Files)
     out = None
     for root in roots:
-        r = spark.read.format("lodestar_files").option("path", root).option("globs", "\n".join(globs or ())).option("content", str(content).lower())
+        r = spark.read.format("lodestar_files").option("path", root).option("globs", "\n".join(globs or ())).option("content", str(content).lower()).option("maxBytes", str(max_bytes))
         df = (r.option("maxDepth", str(max_depth)) if max_depth else r).load()
         out = df if out is None else out.unionByName(df)
     return out

@@ -368,3 +368,30 @@ def test_big_files(spark, tmp_path):
         assert not bigfile.continues(old, bigfile.numbered(spark, path)).first().appended
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_too_large_for_a_row(spark, tmp_path, monkeypatch):
+    """A file over the limit is found by listings, search and read, and its lines are numbered."""
+    import lodestar.corpus as module
+
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "log.txt").write_text("".join(f"line {i} {'needle' if i == 777 else 'hay'}\n" for i in range(1, 2001)))
+    (tmp_path / "small.py").write_text("def needle():\n    pass\n")
+    monkeypatch.setattr(module, "MEMORY_LIMIT", 10_000)
+    c = module.Corpus.from_path(spark, str(tmp_path))
+    assert sorted((r.path, r.matches) for r in c.search("needle", "files").collect()) == [("a b/log.txt", 1), ("small.py", 1)]
+    assert [(r.path, r.line) for r in c.search("needle", globs=["*.txt"]).collect()] == [("a b/log.txt", 777)]
+    kept = c.materialize(str(tmp_path / "tables"))
+    assert kept.lines().where("path = 'a b/log.txt'").count() == 2000 and kept.files.count() == 2
+    text = kept.read(["a b/log.txt:777-778"])
+    assert "777\tline 777 needle" in text and "778\tline 778 hay" in text
+    head = kept.read(["a b/log.txt"])
+    assert "1\tline 1 hay" in head and "2000\tline 2000 hay" in head and "1700 lines" in head
+
+
+def test_running(spark):
+    from lodestar.operators.running import running
+
+    df = spark.range(1000).selectExpr("id", "id % 7 as size").repartition(9)
+    got = sorted((r.nth, r.id, r.upto_size) for r in running(df, ["id"], "size").collect())
+    assert got == [(i + 1, i, sum(j % 7 for j in range(i + 1))) for i in range(1000)]

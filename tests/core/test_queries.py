@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lodestar.plans import catalog
+from lodestar.plans import catalog, code
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,10 +24,13 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", catalog.SQL)
+QUERIES, SQL = catalog.QUERIES | code.QUERIES, catalog.SQL | code.SQL
+
+
+@pytest.mark.parametrize("name", SQL)
 def test_against_sql(spark, con, name):
-    df = catalog.QUERIES[name](spark, SF)
-    got = con.execute(catalog.SQL[name])
+    df = QUERIES[name](spark, SF)
+    got = con.execute(SQL[name])
     cols = [c[0] for c in got.description]
     assert sorted(cols) == sorted(df.columns)
     want = sorted(repr([rounded(r[cols.index(c)]) for c in df.columns]) for r in got.fetchall())
