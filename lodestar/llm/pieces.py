@@ -19,7 +19,8 @@ batch to batch: the last ``MEMO`` that came up and the ``MEMO`` before them.  De
 into blanks and drops the one that encoding put in front.
 
 Defined results: a null text has null ids, the empty text none; every text without U+2581 comes back unchanged
-(U+2581 comes back as a blank, which is what the model takes it for); repeated rows are encoded one by one.
+(U+2581 comes back as a blank, which is what the model takes it for); repeated rows are encoded one by one;
+a very long text is cut into its parts as a whole; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations

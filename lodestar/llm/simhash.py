@@ -13,7 +13,8 @@ A fingerprint is 64 bits; two link when they differ in at most ``MAX_BITS`` = 3.
    distance 1 and 2 in the bits outside the key: two classes at distance 3 or less share a point that is at
    distance 1 or less from one and 2 or less from the other.  All classes at a point are tied to one class
    at distance 1 or less from it, which is linked to each of them.  The work is linear in the classes, and
-   no link is lost.
+   no link is lost.  Buckets of over about ``HOT_BUCKET`` classes are found beforehand by counting some of the classes,
+   and their classes go to the points without being brought together.
 5. Edges go through alternating large-star and small-star rounds until nothing changes; every round is a
    table in the shared folder.
 
@@ -48,6 +49,8 @@ SHINGLE = 3
 SEED = 42
 N_PIVOTS = 16
 MAX_BUCKET = 256
+#: Buckets of about this size are looked for among one of ``DRAW`` classes, and never go to one task.
+HOT_BUCKET, DRAW = 1 << 17, 16
 #: (lowest bit, width) of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 CHOICES = tuple(combinations(range(6), 3))
@@ -261,15 +264,19 @@ def _bucket_keys() -> Column:
     return F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
 
 
-def links(classes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def links(classes: DataFrame, max_bucket: int = MAX_BUCKET, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints; their components are those of all links."""
     spark = classes.sparkSession
     ship_code(spark)
     keyed = pivot_table(classes).select("fp", "d0", "d1", F.explode(_bucket_keys()).alias("k")).select("k.choice", "k.key", "fp", "d0", "d1")
+    drawn = keyed.where(F.pmod(F.xxhash64("fp"), F.lit(DRAW)) == 0).groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"))
+    hot = checked(materialize(drawn.where(F.col("n") * DRAW > hot_bucket).select("choice", "key"), "hot"))
+    apart = keyed.join(hot, ["choice", "key"], "left_semi").select("choice", "fp")
+    keyed = keyed.join(hot, ["choice", "key"], "left_anti")
     dealt = keyed.repartition(_width(spark), "choice", "key").sortWithinPartitions("choice", "key", "fp")
     found = materialize(dealt.mapInArrow(partial(_links, max_bucket=max_bucket), "choice int, a long, b long"), "links")
     edges = found.where("choice is null").select("a", "b")
-    large = found.where("choice is not null").select("choice", F.col("a").alias("fp"))
+    large = found.where("choice is not null").select("choice", F.col("a").alias("fp")).unionByName(apart)
     points = large.mapInArrow(_points, "choice int, point long, far tinyint, fp long")
     stars = points.repartition(_width(spark), "choice", "point").sortWithinPartitions("choice", "point", "far", "fp").mapInArrow(_stars, "a long, b long")
     return edges.unionByName(stars).distinct()

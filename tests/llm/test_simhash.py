@@ -76,8 +76,8 @@ def test_dense_buckets(spark):
     fps = sorted(fps)
     want = brute_components(fps, list(range(len(fps))))
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    for cap in (256, 6):
-        roots = {r.node & (1 << 64) - 1: r.root for r in simhash.components(simhash.links(df, cap)).collect()}
+    for cap, hot in ((256, simhash.HOT_BUCKET), (6, simhash.HOT_BUCKET), (256, 30)):
+        roots = {r.node & (1 << 64) - 1: r.root for r in simhash.components(simhash.links(df, cap, hot)).collect()}
         group = {}
         for i, x in enumerate(fps):
             group.setdefault(roots.get(x, x), []).append(i)
