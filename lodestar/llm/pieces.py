@@ -65,6 +65,7 @@ class Encoder:
         self.plain = [b"" if k == "control" else bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds)]
         if "unknown" in kinds:
             self.plain[self.unknown] = " ⁇ ".encode()
+        self.plain_size = np.array([len(p) for p in self.plain], np.int64)
         self.splits: dict[str, tuple[str, str]] = {}
         self.own = {i for p, i in self.ids.items() if self.merge(p, self.splits) == [p]}
         self.ordered = all(self._at(part) <= self.rank[p] for p, i in self.ids.items() if i in self.own and len(p) > 1 for part in self.splits[p])
@@ -311,13 +312,23 @@ class Encoder:
                 end += 1
             some.update(zip(lacking[first:end], self.encode_parts(lacking[first:end])))
             first = end
-        plain = self.plain
         for name, ps in new.items():
-            ids = memo[name] = some[ps[0]] if len(ps) == 1 else b"".join([some[p] for p in ps])
-            if b"".join([plain[i] for i in memoryview(ids).cast("i")]) != (MARK + name).replace(MARK, " ").encode("utf-8", "replace"):
-                self.lossy.add(name)
+            memo[name] = some[ps[0]] if len(ps) == 1 else b"".join([some[p] for p in ps])
+        self._decode_back(list(new))
         return memo
 
+    def _decode_back(self, names: list[str]) -> None:
+        """Decodes what was learned for the names, all in one go, and notes those that don't come back."""
+        memo, plain = self.memo, self.plain
+        want = [(MARK + name).replace(MARK, " ").encode("utf-8", "replace") for name in names]
+        ids = [memo[name] for name in names]
+        every = np.frombuffer(b"".join(ids), np.int32)
+        if b"".join(map(plain.__getitem__, every.tolist())) == b"".join(want):
+            ends = np.cumsum(self.plain_size[every])[np.cumsum([len(x) >> 2 for x in ids]) - 1] if len(every) and all(ids) else None
+            if ends is not None and (ends == np.cumsum([len(w) for w in want])).all():
+                return
+        self.lossy.update(n for n, x, w in zip(names, ids, want) if b"".join([plain[i] for i in memoryview(x).cast("i")]) != w)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The ids of each text."""
         return [ids for ids, _ in self.encode_checked(texts)]
