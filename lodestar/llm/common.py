@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -104,6 +106,12 @@ def ship_code(spark: SparkSession) -> None:
     session.ship_code(spark)
 
 
+def give_back() -> None:
+    """Give free memory back, where the C library can: a Python worker outlives its task and stands beside the next one's."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, by exact name, whatever else the table holds (``TEXT`` beside ``text``, say)."""
     where = {n: i for i, n in reversed(list(enumerate(df.columns)))}

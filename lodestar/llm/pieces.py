@@ -25,8 +25,6 @@ a very long text is cut into its parts as a whole; extra columns are ignored; an
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 from array import array
 from collections.abc import Iterator
@@ -37,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pick, ship_code
+from lodestar.llm.common import give_back, pick, ship_code
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -345,8 +343,7 @@ class Encoder:
         """Lets go of the parts remembered: a Python worker outlives its task."""
         self.memo, self.older = {}, {}
         self.lossy.clear()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library can, give free memory back
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.plain.__getitem__, ids))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from lodestar.llm.common import ASCII_SPACE, checked, materialize, pick, positional, ship_code, word_blocks
+from lodestar.llm.common import ASCII_SPACE, checked, give_back, materialize, pick, positional, ship_code, word_blocks
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -107,6 +107,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)]
         keep = [b.column(c) for c in ("doc_id", "lang", "source")]
         yield pa.RecordBatch.from_arrays(keep + cols, names=["doc_id", "lang", "source", *COUNTS])
+    give_back()
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -228,6 +229,7 @@ def kept(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         for b in batches:
             rows = [count_text(t.as_py()) for t in b.column(text)]
             yield pa.RecordBatch.from_arrays(b.columns + [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=b.schema.names + list(COUNTS))
+        give_back()
 
     schema = T.StructType(plain.schema.fields + [T.StructField(c, T.LongType()) for c in COUNTS])
     full = plain.mapInArrow(counted, schema).withColumn("lang", F.col(where["lang"]).cast("string")).withColumn("source", F.col(where["source"]).cast("string"))

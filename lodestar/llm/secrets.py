@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pick, positional, ship_code
+from lodestar.llm.common import give_back, pick, positional, ship_code
 
 #: Kinds in the order in which spans at one start are listed.
 KINDS = ("assign", "access", "hex")
@@ -457,5 +457,6 @@ def redacted(docs: DataFrame) -> DataFrame:
                     old = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(old.type)
                 cols.append(old)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+        give_back()
 
     return plain.mapInArrow(rows, plain.schema).toDF(*names)

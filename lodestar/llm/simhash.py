@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import FOLD_AZ, checked, materialize, meet, pick, positional, ship_code, word_blocks
+from lodestar.llm.common import FOLD_AZ, checked, give_back, materialize, meet, pick, positional, ship_code, word_blocks
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -96,6 +96,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         fps = np.array([fingerprint(t.as_py()) for t in b.column("text")], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
