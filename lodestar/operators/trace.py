@@ -58,23 +58,24 @@ def attribution() -> Column:
     """Whether a site means the target: ``target``, ``other`` or ``unknown``.
 
     Columns: qualifier, s_path, s_dir, s_owner (the site's), name, t_path, t_dir, t_owner, t_package, t_kind, t_lang (the
-    target's), and what the other candidates of the name have: o_owners, o_packages, o_free_here, o_any.
+    target's), and what the definitions of the name have (``_known``): o_named, o_owned, o_free_here, o_any.
     """
     q = F.col("qualifier")
     method = F.col("t_owner").isNotNull() & ~F.col("t_kind").isin(*TYPES)
-    by_owner = lambda c: F.when(c == F.col("t_owner"), "target").when(F.array_contains("o_owners", c), "other").otherwise("unknown")
+    s_owner = F.col("s_owner")
+    by_owner = F.when(s_owner.isNull(), "unknown").when(s_owner == F.col("t_owner"), "target").when(F.col("o_owned"), "other").otherwise("unknown")
     go = F.col("t_lang") == "go"
     named = (
         F.when(q == F.col("t_owner"), "target")
         .when(go & (q == F.col("t_package")), "target")
-        .when(F.array_contains("o_owners", q) | F.array_contains("o_packages", q), "other")
+        .when(F.col("o_named"), "other")
         .when(go & ~method, "other")
         .when(F.col("t_lang").isin("lua", "luau") & q.isin(LUA_GLOBALS), "other")
         .otherwise("unknown")
     )
     plain = (
         F.when(go, F.when(~method & (F.col("s_dir") == F.col("t_dir")), "target").otherwise("other"))
-        .when(method & F.col("t_lang").isin(*IMPLICIT), F.when(F.col("s_owner").isNull(), "unknown").otherwise(by_owner(F.col("s_owner"))))
+        .when(method & F.col("t_lang").isin(*IMPLICIT), by_owner)
         .when(method & F.col("t_lang").isin(*EXPLICIT), "other")
         .when(method, "unknown")
         .when(F.col("s_path") == F.col("t_path"), "target")
@@ -82,7 +83,7 @@ def attribution() -> Column:
         .otherwise("unknown")
     )
     said = (
-        F.when(q.isin(*SELF), F.when(F.col("s_owner").isNull(), "unknown").otherwise(by_owner(F.col("s_owner"))))
+        F.when(q.isin(*SELF), by_owner)
         .when(q == "super", "unknown")
         .when(q == "", F.when(~method & F.col("t_lang").isin("go", "rust"), "other").otherwise("unknown"))
         .when(q.isNotNull(), named)
@@ -91,6 +92,46 @@ def attribution() -> Column:
     return F.when((said == "unknown") & ~F.col("o_any"), "target").otherwise(said)
 
 
+def _key(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(kind), value)
+
+
+def given() -> Column:
+    """Keys, a kind and a value, under which sites ask for a target (``wanted``): a site that ``attribution`` lets mean the
+    target asks for exactly one of them, any other for none."""
+    owner, package, lang = F.col("t_owner"), F.col("t_package"), F.col("t_lang")
+    go, method = lang == "go", owner.isNotNull() & ~F.col("t_kind").isin(*TYPES)
+    plain = (
+        F.when(go, F.array(F.when(~method, _key("d", F.col("t_dir")))))
+        .when(method & lang.isin(*IMPLICIT), F.array(F.lit("I"), _key("i", owner)))
+        .when(method & lang.isin(*EXPLICIT), F.array())
+        .when(method, F.array(F.lit("M")))
+        .otherwise(F.array(F.lit("P"), _key("p", F.col("t_path"))))
+    )
+    every = (
+        F.lit("A"),
+        F.when(method | ~lang.isin("go", "rust"), "E"),
+        F.when(lang.isin("lua", "luau"), "L").when(method | ~go, "W"),
+        _key("o", owner),
+        F.when(~package.eqNullSafe(owner), _key("k", package)),
+    )
+    return F.array_compact(F.concat(F.array(*every), plain))
+
+
+def wanted() -> Column:
+    """Keys of the targets that a site may mean: all of a sort (capitals), or those with a value where that decides."""
+    q, s_owner = F.col("qualifier"), F.col("s_owner")
+    keys = (
+        F.when(q.isin(*SELF), F.array(F.when(F.col("o_owned"), _key("o", s_owner)).otherwise("A")))
+        .when(q == "super", F.array(F.lit("A")))
+        .when(q == "", F.array(F.lit("E")))
+        .when(q.isNotNull() & F.col("o_named"), F.array(_key("o", q), _key("k", q)))
+        .when(q.isNotNull(), F.array(F.lit("W"), F.when(~q.isin(LUA_GLOBALS), "L")))
+        .otherwise(F.array(_key("d", F.col("s_dir")), F.when(F.col("o_owned"), _key("i", s_owner)).otherwise("I"), F.lit("M"), F.when(F.col("o_free_here"), _key("p", F.col("s_path"))).otherwise("P")))
+    )
+    return F.array_compact(keys)
+
+
 class Tracer:
     """Questions about one corpus; ``occurrences`` and ``symbols`` are best written tables."""
 
@@ -113,25 +154,36 @@ class Tracer:
             found = found.where((F.col("path") == path) | F.endswith("path", F.lit("/" + path)))
         return lookup.ranked(found, (lookup.name_parts(name or target) or [target])[-1])
 
-    def _targets(self, keys: DataFrame) -> DataFrame:
-        """Definitions by key (path, idx) with what the other definitions of their name have."""
-        t = self.defs.join(keys.select("path", "idx").distinct(), ["path", "idx"], "left_semi")
-        t = t.select("name", *[F.col(c).alias(f"t_{c}") for c in ("path", "idx", "dir", "owner", "package", "kind", "lang", "start", "end", "def")])
-        o = self.defs.select("name", *[F.col(c).alias(f"o_{c}") for c in ("path", "idx", "owner", "package")])
-        # gathered by name: a name's owners and packages, not its sites
-        other = t.select("name", "t_path", "t_idx").join(o, "name").where((F.col("o_path") != F.col("t_path")) | (F.col("o_idx") != F.col("t_idx")))
-        per = other.groupBy("name", "t_path", "t_idx").agg(F.collect_set("o_owner").alias("o_owners"), F.collect_set("o_package").alias("o_packages"), F.collect_set(F.when(F.col("o_owner").isNull(), F.col("o_path"))).alias("o_free"), F.lit(True).alias("o_any"))
-        none = F.array().cast("array<string>")
-        return t.join(per, ["name", "t_path", "t_idx"], "left").select(*t.columns, *[F.coalesce(c, none).alias(c) for c in ("o_owners", "o_packages", "o_free")], F.coalesce("o_any", F.lit(False)).alias("o_any"))
+    def _known(self, sites: DataFrame) -> DataFrame:
+        """Sites with what the definitions of their name have: an owner or package that the qualifier names (o_named), the
+        site's owner (o_owned), a free definition in the site's text (o_free_here), and more than one definition (o_any).
+
+        The target is among them: where it alone has one of these, ``attribution`` has already said that it is meant.
+        So what is known stands by name and value, one row each, and never by pairs of definitions of a name.
+        """
+        d = self.defs.select("name", "path", "idx", "owner", "package")
+        owner, package = (d.select("name", F.col(c).alias("_value")).where("_value is not null") for c in ("owner", "package"))
+        one = F.struct("path", "idx")
+        for flag, at, facts in (
+            ("o_named", "qualifier", owner.unionByName(package).distinct()),
+            ("o_owned", "s_owner", owner.distinct()),
+            ("o_free_here", "s_path", d.where("owner is null").select("name", F.col("path").alias("_value")).distinct()),
+            ("o_any", None, d.groupBy("name").agg(F.min(one).alias("_a"), F.max(one).alias("_b")).where("_a <> _b").select("name")),
+        ):
+            facts, same = facts.withColumnRenamed("name", "_name").withColumn(flag, F.lit(True)), F.col("name") == F.col("_name")
+            sites = sites.join(facts, same & (F.col(at) == F.col("_value")) if at else same, "left").drop("_name", "_value").withColumn(flag, F.coalesce(flag, F.lit(False)))
+        return sites
 
     def sites_of(self, keys: DataFrame, kinds: tuple[str, ...] = ("call",)) -> DataFrame:
         """Sites of definitions (t_path, t_idx), attributed, with the symbol around each."""
-        t = self._targets(keys)
+        t = self.defs.join(keys.select("path", "idx").distinct(), ["path", "idx"], "left_semi")
+        t = t.select("name", *[F.col(c).alias(f"t_{c}") for c in ("path", "idx", "dir", "owner", "package", "kind", "lang")])
         s = self.sites.where(F.col("kind").isin(*kinds)).join(t.select("name").distinct(), "name", "left_semi")
         s = enclosing(s.select("path", "line", "col", "name", "kind", "qualifier"), self.symbols, ["path", "line", "col"])
         own = self.defs.select("path", F.col("idx").alias("owner_idx"), F.when(F.col("kind").isin(*TYPES), F.col("name")).otherwise(F.col("owner")).alias("s_owner"))
         s = s.join(own, ["path", "owner_idx"], "left").withColumnRenamed("path", "s_path").withColumn("s_dir", F.when(F.instr("s_path", "/") > 0, F.regexp_replace("s_path", "/[^/]*$", "")).otherwise(""))
-        rows = s.join(t, "name").withColumn("o_free_here", F.array_contains("o_free", F.col("s_path"))).withColumn("attr", attribution())
+        # by what is meant, not by name alone: of a name with many definitions and sites most pairs would be dropped again
+        rows = self._known(s).withColumn("_key", F.explode(wanted())).join(t.withColumn("_key", F.explode(given())), ["name", "_key"]).withColumn("attr", attribution())
         return rows.where("attr <> 'other'").select("t_path", "t_idx", "name", "s_path", "owner_idx", "line", "col", "kind", "qualifier", "attr")
 
     def groups(self, sites: DataFrame) -> DataFrame:

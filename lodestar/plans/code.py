@@ -40,12 +40,16 @@ TEXTS: dict[str, tuple[str, str, list[tuple[str, str, str, int, int, int]]]] = {
 }
 # Fixed value: a Python file, ``@k`` its number, ``@b`` that of its base class, ``@c`` that of the function it calls.
 MODULE = "class C@k(C@b):\n    def run(self):\n        self.step@k()\n        return f@c()\n\n    def step@k(self):\n        return f@k()\n\n\ndef f@k():\n    print(@k)\n    return C@k()\n"
+# Fixed value: texts that a task reads for symbols.
+PER_TASK = 1000
 _S = "(select s_suppkey as k, s_suppkey // 2 as b, (s_suppkey * 3 + 1) % (select count(*) from supplier) as c from supplier)"
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"))
-    return s.select("k", F.expr("k div 2").alias("b"), ((F.col("k") * 3 + 1) % F.lit(s.count())).alias("c"))
+    n = s.count()
+    # a row of a few bytes becomes a text to be read for symbols: dealt out by rows, the table is one task
+    return s.repartition(1 + n // PER_TASK, "k").select("k", F.expr("k div 2").alias("b"), ((F.col("k") * 3 + 1) % F.lit(n)).alias("c"))
 
 
 def _filled(text: str, *names: str):

@@ -215,6 +215,57 @@ def test_targets(tracer):
         trace.direction_of("sideways")
 
 
+def most_rows(df):
+    """The most rows that one operator of an executed plan made."""
+    most, work = 0, [df._jdf.queryExecution().executedPlan()]
+    while work:
+        node = work.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            work.append(node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan())
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        work += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_names_with_many_definitions(spark):
+    """A method that every class defines and calls: the work grows with the classes, not with their pairs."""
+    n = 150
+    texts = spark.range(n).select(F.format_string("m/c%d.py", "id").alias("path"), F.format_string("class C%d:\n    def run(self):\n        return self.step()\n\n    def step(self):\n        return 1\n", "id").alias("text"))
+    c = Corpus.from_table(texts, "path", "text")
+    t = trace.Tracer(c.sources, c.symbols, c.occurrences)
+    got = t.sites_of(t.defs.select("path", "idx"))
+    assert sorted((r.t_path, r.s_path, r.name, r.line, r.attr) for r in got.collect()) == sorted((f"m/c{i}.py", f"m/c{i}.py", "step", 3, "target") for i in range(n))
+    assert most_rows(got) <= 20 * n
+
+
+MIXED = {
+    "a/x.py": "class A:\n    def act(self):\n        self.act()\n        x().act()\n        q.act()\n        B.act()\n        super().act()\n        act()\n\n\ndef act():\n    C.act()\n",
+    "a/y.py": "class B(A):\n    def act(self):\n        return self.act() + act()\n\n    class act:\n        pass\n\n\ndef f():\n    return self.act() + string.act() + p.act()\n",
+    "a/z.java": "class C extends A {\n    int act() {\n        return act() + this.act();\n    }\n}\n\nclass D {\n    int f() {\n        return act() + A.act();\n    }\n}\n",
+    "b/x.go": "package p\n\ntype A struct {\n}\n\nfunc (a *A) go2() int {\n\treturn a.go2() + p.go2() + go2()\n}\n\nfunc go2() int {\n\treturn x().go2()\n}\n",
+    "b/y.go": "package q\n\nfunc go2() int {\n\treturn go2() + p.go2() + r.go2()\n}\n",
+    "b/z.rs": "fn go2() -> i32 {\n    x().go2() + go2() + A::go2() + string.go2()\n}\n\nimpl A {\n    fn act() -> i32 {\n        Self::act() + act()\n    }\n}\n",
+    "b/w.lua": "function act()\n  return string.act() + table.go2() + act()\nend\n\nfunction A:go2()\n  return self:go2()\nend\n",
+    "c/w.py": "def g():\n    return act() + go2() + self.go2() + z.go2()\n",
+}
+
+
+def test_sites_by_what_they_mean(spark, monkeypatch):
+    """Every pair that ``attribution`` keeps is met by key, and once."""
+    c = Corpus.from_table(spark.createDataFrame(list(MIXED.items()), "path string, text string"), "path", "text")
+    t = trace.Tracer(c.sources, c.symbols, c.occurrences)
+
+    def rows():
+        return sorted(map(repr, t.sites_of(t.defs.select("path", "idx"), ("call", "ref", "import")).collect()))
+
+    got = rows()
+    for f in ("given", "wanted"):  # all pairs of a name
+        monkeypatch.setattr(trace, f, lambda: F.array(F.lit("A")))
+    assert len(got) > 50 and got == rows()
+
+
 def test_occurrences():
     got = {(line, name): (kind, q) for line, _, name, kind, q in occurrences.occurrences("use a::b;\nfn f() { self.g(); X::h::<T>(1); m!(x); y?.z; \"s()\" }\n", "rust")}
     assert got[1, "b"][0] == "import" and got[2, "g"] == ("call", "self") and got[2, "h"] == ("call", "X") and got[2, "m"][0] == "call" and (2, "s") not in got
